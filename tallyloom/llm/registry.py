@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import near_simhash
+from . import bpe, near_simhash, packing
 
 
 def queries() -> dict:
-    return {"op4_simhash_near_dedup": near_simhash.op4_simhash_near_dedup}
+    return {
+        "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
+        "op4_simhash_near_dedup": near_simhash.op4_simhash_near_dedup,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
+    }
 
 
 def oracle_sql() -> dict:
