@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, near_simhash, packing
+from . import bpe, chat, doc_simhash, mips, near_simhash, packing
 
 
 def queries() -> dict:
     return {
         "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
         "op4_simhash_near_dedup": near_simhash.op4_simhash_near_dedup,
+        "op5_chat_format": chat.op5_chat_format,
+        "op6_exact_top_k": mips.op6_exact_top_k,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op9_weighted_simhash": doc_simhash.op9_weighted_simhash,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_chat_format": chat.OP5_SQL, "op6_exact_top_k": mips.OP6_SQL}
