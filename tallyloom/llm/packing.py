@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from .common import documents
 HELD_TOKENS, KEPT_WORDS, KEPT_LENGTH = 12_000_000, 250_000, 48
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+ARROW = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in PIECES.split(", ")])
 
 
 class WordTokenizer:
@@ -35,32 +37,54 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(vocabulary_file(name))
         self.library.no_truncation()
         self.library.no_padding()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        words = text.replace("\n", " ").split(" ")
+        self.lower = self.library.normalizer is not None and self.library.normalizer.normalize_str("A") == "a"
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.marks = {m: self.ids_of([m])[0] for m in ".,"}
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Ids of words not met before.  A full stop or comma after a letter or digit is a piece of its own."""
+        young, old = self.young, self.old
+        unknown: dict[str, list[tuple[bytes, bytes]]] = {}
+        for w in words:
+            if w in old:
+                young[w] = old[w]
+                continue
+            text = w.decode()
+            if len(text) > 1 and text[-1] in self.marks and text[-2] < "\u0100" and text[-2].isalnum():
+                base = w[:-1]
+                known = young.get(base) or old.get(base)
+                if known:
+                    young[w] = known + self.marks[text[-1]]
+                else:
+                    unknown.setdefault(text[:-1], []).append((w, self.marks[text[-1]]))
+            else:
+                unknown.setdefault(text, []).append((w, b""))
+        every = list(unknown)
+        for at in range(0, len(every), 8192):
+            part = every[at : at + 8192]
+            for text, ids in zip(part, self.ids_of(part), strict=True):
+                young[text.encode()] = ids
+                for w, mark in unknown[text]:
+                    young[w] = ids + mark
+
+    def encode(self, text: bytes) -> bytes:
+        """Ids of a UTF-8 text as little-endian unsigned 32-bit integers."""
+        if self.lower and b"<|" not in text:
+            text = text.lower()  # A-Z only; the library does the rest, special strings are matched before it
+        words = text.replace(b"\n", b" ").split(b" ")
         if len(self.young) > KEPT_WORDS:
             self.old, self.young = self.young, {}
-        young = self.young
-        new = [w for w in set(words) if w not in young]
+        new = set(words).difference(self.young)
         if new:
-            old = self.old
-            unknown = []
-            for w in new:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    unknown.append(w)
-            for at in range(0, len(unknown), 8192):
-                part = unknown[at : at + 8192]
-                for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    young[w] = np.array(e.ids, dtype="<u4").tobytes()
-        out = b"".join(map(young.__getitem__, words))
+            self.learn(list(new))
+        out = b"".join(map(self.young.__getitem__, words))
         for w in new:
             if len(w) > KEPT_LENGTH:
-                del young[w]
+                del self.young[w]
         return out
 
 
@@ -128,35 +152,37 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return to, offset, count
 
 
-def tokenized(batches: Iterator[pd.DataFrame], vocabulary: str, end_id: int) -> Iterator[tuple]:
-    """``(doc_id, ids)`` for each row, each document ending in ``end_id``."""
+def tokenized(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[tuple]:
+    """``(doc_id, ids)`` for each row of ``doc_id`` and UTF-8 ``text``, each document ending in ``end_id``."""
     end = np.array([end_id], dtype="<u4").tobytes()
     t = tokenizer(vocabulary)
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            yield doc_id, (t.encode(text) if isinstance(text, str) else b"") + end
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            text = text.as_py()
+            yield doc_id, (t.encode(text) if text else b"") + end
 
 
-def packed(rows: Iterator[tuple], window: int, task: int) -> Iterator[pd.DataFrame]:
-    """Rows of ``PIECES`` for ``(doc_id, ids)`` rows.
+def packed(rows: Iterator[tuple], window: int, task: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``PIECES`` for ``(doc_id, ids)`` rows.
 
     Full windows of overlong documents go out at once; the rests wait until
     ``HELD_TOKENS`` are there and are then packed.
     """
     sequence, held, tokens = task << 33, [], 0
     out: list[tuple] = []
-    size = 0
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        got = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-        return got.astype({"doc_id": "Int64"})
+    def frames() -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(out), 1024):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 1024], strict=True), ARROW, strict=True)], schema=ARROW)
+        out.clear()
 
-    def pack() -> Iterator[tuple]:
-        nonlocal sequence
+    def pack() -> None:
+        nonlocal sequence, tokens
         to, offset, count = best_fit_decreasing([len(p[2]) // 4 for p in held], window)
         for (doc_id, start, ids, n), k, at in zip(held, to, offset, strict=True):
-            yield doc_id, start, len(ids) // 4, ids, n, sequence + k, at
+            out.append((doc_id, start, len(ids) // 4, ids, n, sequence + k, at))
         sequence += count
+        tokens = 0
         held.clear()
 
     for doc_id, ids in rows:
@@ -166,22 +192,15 @@ def packed(rows: Iterator[tuple], window: int, task: int) -> Iterator[pd.DataFra
             if len(piece) == 4 * window:
                 out.append((doc_id, start, window, piece, n, sequence, 0))
                 sequence += 1
-                size += window
             else:
                 held.append((doc_id, start, piece, n))
                 tokens += len(piece) // 4
-            if size > 1_000_000:
-                yield frame(out)
-                out, size = [], 0
         if tokens > HELD_TOKENS:
-            out += pack()
-            tokens = 0
-            for at in range(0, len(out), 2048):
-                yield frame(out[at : at + 2048])
-            out, size = [], 0
-    out += pack()
-    for at in range(0, len(out), 2048):
-        yield frame(out[at : at + 2048])
+            pack()
+        if len(out) >= 1024:
+            yield from frames()
+    pack()
+    yield from frames()
 
 
 def pack_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:
@@ -194,10 +213,11 @@ def pack_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "word_
     id alone; repeated rows and ids are packed each; other columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return packed(tokenized(batches, vocabulary, end_id), window, TaskContext.get().partitionId())
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
