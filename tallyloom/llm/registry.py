@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, doc_simhash, mips, near_simhash, packing
+from . import bpe, chat, doc_simhash, mips, near_simhash, packing, pii
 
 
 def queries() -> dict:
     return {
         "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
+        "op3_weak_pii": pii.op3_weak_pii,
         "op4_simhash_near_dedup": near_simhash.op4_simhash_near_dedup,
         "op5_chat_format": chat.op5_chat_format,
         "op6_exact_top_k": mips.op6_exact_top_k,
