@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from .common import documents
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text that are cut into pieces at a time, and pieces that are remembered between batches.
-CHUNK_CHARS, KEPT_PIECES, KEPT_LENGTH = 1_000_000, 250_000, 48
+CHUNK_CHARS, KEPT_PIECES, KEPT_LENGTH = 2_000_000, 250_000, 48
 
 
 def vocabulary_file(name: str) -> str:
@@ -54,9 +55,17 @@ class TrieEncoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.bytes_of = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
-        merges = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(merges)}
-        self.longest = max(map(len, self.ids))
+        self.lengths = {i: len(b) for i, b in self.bytes_of.items()}
+        merges = [(self.ids[raw(a)], self.ids[raw(b)]) for a, b in (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])]
+        self.rank = {a << 32 | b: k for k, (a, b) in enumerate(merges)}
+        self.made = {self.ids[self.bytes_of[a] + self.bytes_of[b]]: (a, b, k) for k, (a, b) in enumerate(merges)}
+        self.edges: tuple[dict, dict] = ({}, {})
+        self.begins = {b[:k] for b in self.ids for k in range(len(b) + 1)}
+        #: Suffix states, made as they are met: their bytes, the tokens that end there (longest first, with lengths) and steps.
+        self.state_bytes: list[bytes] = [b""]
+        self.state_ends: list[tuple] = [()]
+        self.state_of: dict[bytes, int] = {b"": 0}
+        self.steps: dict[int, int] = {}
         self.fits: dict[int, bool] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -67,46 +76,84 @@ class TrieEncoder:
         self.pieces = regex.compile(PATTERN)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
-    def merged(self, text: bytes) -> list[bytes]:
-        """The merge rules, applied one by one; only for short joins of two tokens."""
-        parts = [text[i : i + 1] for i in range(len(text))]
-        while len(parts) > 1:
-            rank, at = min((self.rank.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 30:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def edge(self, token: int, right: bool) -> list[tuple[int, int]]:
+        """What stands at one edge of a token while the rules build it: (part, rank of the merge that ends it)."""
+        known = self.edges[right].get(token)
+        if known is None:
+            known, part = [(token, 1 << 40)], token
+            while part in self.made:
+                *halves, rank = self.made[part]
+                part = halves[right]
+                known.append((part, rank))
+            known.reverse()
+            self.edges[right][token] = known
+        return known
 
     def follows(self, before: int, token: int) -> bool:
-        """Whether ``token`` may stand after ``before`` (-1: first) in an encoding."""
-        b = self.bytes_of[token]
-        want = [b] if before < 0 else [self.bytes_of[before], b]
-        return self.merged(b"".join(want)) == want
+        """Whether ``token`` may stand after ``before`` (-1: first) in an encoding.
+
+        It may unless a merge crosses the boundary: one of parts that stand at
+        it at the same time, of a rank under that of the merge that takes the
+        left part away, and not over that which takes the right part away.
+        """
+        if before < 0:
+            return True
+        left, right, i, j = self.edge(before, True), self.edge(token, False), 0, 0
+        while True:
+            (a, ends_a), (b, ends_b) = left[i], right[j]
+            rank = self.rank.get(a << 32 | b)
+            if rank is not None and rank < ends_a and rank <= ends_b:
+                return False
+            if ends_a <= ends_b:
+                i += 1
+            else:
+                j += 1
+            if i == len(left) or j == len(right):
+                return True
+
+    def step(self, state: int, byte: int) -> int:
+        """The longest suffix of ``state`` and one more byte that begins a token."""
+        held = self.state_bytes[state] + bytes((byte,))
+        while held not in self.begins:
+            held = held[1:]
+        to = self.state_of.get(held)
+        if to is None:
+            to = self.state_of[held] = len(self.state_bytes)
+            self.state_bytes.append(held)
+            ends = ((self.ids.get(held[k:]), len(held) - k) for k in range(len(held)))
+            self.state_ends.append(tuple(e for e in ends if e[0] is not None))
+        self.steps[state << 8 | byte] = to
+        return to
 
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """``(word, ids)`` for each distinct word, in trie order.
 
         Sorted words are the leaves of their trie in depth-first order; ``last``
         is the path from the root to the current node with a last token for
-        each node.  Going to the next word pops to the shared prefix.
+        each node, and ``states`` has the tokens that can end there.  Going to
+        the next word pops to the shared prefix.
         """
-        ids, fits, longest = self.ids, self.fits, self.longest
-        last, path = [-1], b""
+        steps, ends, fits, lengths = self.steps, self.state_ends, self.fits, self.lengths
+        last, states, path = [-1], [0], b""
         for word in sorted(set(words)):
-            shared, most = 0, min(len(path), len(word))
-            while shared < most and path[shared] == word[shared]:
+            shared = 0
+            for a, b in zip(path, word, strict=False):
+                if a != b:
+                    break
                 shared += 1
-            del last[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
-                    if token is None:
-                        continue
-                    before = last[start]
-                    key = (before + 1) << 32 | token
+            del last[shared + 1 :], states[shared + 1 :]
+            state, end = states[-1], shared
+            for byte in word[shared:]:
+                end += 1
+                state = steps.get(state << 8 | byte, -1)
+                if state < 0:
+                    state = self.step(states[-1], byte)
+                states.append(state)
+                for token, length in ends[state]:
+                    key = (last[end - length] + 1) << 32 | token
                     ok = fits.get(key)
                     if ok is None:
-                        ok = fits[key] = self.follows(before, token)
+                        ok = fits[key] = self.follows(last[end - length], token)
                     if ok:
                         last.append(token)
                         break
@@ -114,9 +161,11 @@ class TrieEncoder:
                     raise ValueError(f"no encoding for {word[:end]!r}")
             path, out, at = word, [], len(word)
             while at:
-                out.append(last[at])
-                at -= len(self.bytes_of[last[at]])
-            yield word, out[::-1]
+                token = last[at]
+                out.append(token)
+                at -= lengths[token]
+            out.reverse()
+            yield word, out
 
     def cut(self, text: str) -> list[str]:
         """Pieces of ordinary text, as the ``tokenizers`` library cuts them.
@@ -160,9 +209,9 @@ class TrieEncoder:
                 self.old, self.young = self.young, {}
             new = set().union(*split).difference(self.young)
             known = {p: self.old[p] for p in new if p in self.old}
-            found = {s: np.array([i], dtype="<u4").tobytes() for s, i in self.special.items() if s in new}
+            found = {s: array("I", [i]).tobytes() for s, i in self.special.items() if s in new}
             plain = {p.encode(): p for p in new.difference(known, found)}
-            found |= {plain[w]: np.array(i, dtype="<u4").tobytes() for w, i in self.encode_words(plain)}
+            found |= {plain[w]: array("I", i).tobytes() for w, i in self.encode_words(plain)}
             self.young |= known
             self.young |= found
             out += [b"".join(map(self.young.__getitem__, pieces)) for pieces in split]
