@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, doc_simhash, mips, near_simhash, packing, para_dedup, pii
+from . import bpe, chat, doc_simhash, mips, near_simhash, packing, para_dedup, pii, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_weak_pii": pii.op3_weak_pii,
         "op4_simhash_near_dedup": near_simhash.op4_simhash_near_dedup,
         "op5_chat_format": chat.op5_chat_format,
