@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, doc_simhash, mips, near_simhash, packing, para_dedup, pii, toxicity
+from . import bpe, chat, doc_simhash, maxent, mips, near_simhash, packing, para_dedup, pii, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_chat_format": chat.op5_chat_format,
         "op6_exact_top_k": mips.op6_exact_top_k,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_maxent_scores": maxent.op8_maxent_scores,
         "op9_weighted_simhash": doc_simhash.op9_weighted_simhash,
         "op10_passage_dedup": para_dedup.op10_passage_dedup,
     }
