@@ -6,7 +6,10 @@ from . import bpe, chat, doc_simhash, maxent, mips, near_simhash, packing, para_
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_weak_pii": pii.op3_weak_pii,
