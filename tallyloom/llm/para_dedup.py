@@ -170,16 +170,52 @@ def links(distinct: DataFrame, found: DataFrame, threshold: float, paired: int)
     rest = placed.where(F.col("j") < threshold)
     if not rest.limit(1).count():
         return edges
-    other = placed.select("band", "key", F.col("id").alias("b"), F.col("j").alias("jb"))
-    left = (
-        rest.withColumnRenamed("id", "a")
-        .join(other, ["band", "key"])
-        .where((F.col("a") != F.col("b")) & (F.abs(F.col("j") - F.col("jb")) <= 1 - threshold + 1e-9))
+    left = possible(placed, threshold, sized(placed.select("id").distinct(), sets)).select("a", "b").distinct()
+    return edges.union(similar(left, sets).where(F.col("j") >= threshold).select("a", "b"))
+
+
+def sized(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """``id, size, alone``: how many shingles a set has, and how many of them no other of these sets has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = batch.column("id").to_numpy(), [np.frombuffer(s.as_py(), dtype=np.int64) for s in batch.column("set")]
+            for at in range(0, len(ids), 1000):
+                part = found[at : at + 1000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 1000], list(map(len, part)))), pa.array(np.concatenate(part))], names=["id", "shingle"])
+
+    mine = ids.join(sets, "id")
+    single = mine.mapInArrow(run, "id long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    alone = single.groupBy("id").agg(F.count("*").alias("alone"))
+    return mine.select("id", (F.length("set") / 8).cast("long").alias("size")).join(alone, "id", "left").select("id", "size", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
+def possible(placed: DataFrame, threshold: float, sizes: DataFrame) -> DataFrame:
+    """Pairs of a member that is too far from its bucket's commonest one with any member it may yet be close to.
+
+    Two sets share at most what neither has alone, which bounds their
+    similarity by their sizes; so a member is sent only to the sizes that it
+    can match (in steps of 2 %), and meets there what its bucket has of them.
+    Most edited copies have too many shingles of their own to match anything
+    of their size, so the pairs do not grow with the square of the bucket.
+    """
+    known = placed.join(sizes, "id").withColumn("level", F.floor(F.log("size") * 50))
+    o = F.col("size") - F.col("alone")
+    low = F.floor(F.log(F.col("size") * threshold) * 50 - 1e-6)
+    # o / (size + other - o) >= threshold bounds the other's size; it also has o shingles at least.
+    most = o * ((1 + threshold) / threshold) - F.col("size")
+    high = F.floor(F.log(F.greatest(most, F.lit(1.0))) * 50 + 1e-6)
+    rest = known.where((F.col("j") < threshold) & (most >= F.col("size") * threshold) & (high >= low))
+    rest = rest.select("band", "key", F.col("id").alias("a"), F.col("j").alias("ja"), F.col("size").alias("sa"), o.alias("oa"), F.explode(F.sequence(low, high)).alias("level"))
+    other = known.select("band", "key", "level", F.col("id").alias("b"), F.col("j").alias("jb"), F.col("size").alias("sb"), o.alias("ob"))
+    shared = F.least("oa", "ob")
+    return (
+        rest.join(other, ["band", "key", "level"])
+        .where((F.col("a") != F.col("b")) & (F.abs(F.col("ja") - F.col("jb")) <= 1 - threshold + 1e-9))
         .where((F.col("jb") >= threshold) | (F.col("a") < F.col("b")))
+        .where(shared * (1 + threshold) >= threshold * (F.col("sa") + F.col("sb")) - 1e-6)
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
     )
-    return edges.union(similar(left, sets).where(F.col("j") >= threshold).select("a", "b"))
 
 
 def shared_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, paired: int = PAIRED) -> DataFrame:
