@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -11,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import vocabulary_file
+from .bpe import byte_letters, vocabulary_file
 from .common import documents
 
 #: Tokens of pieces that a task holds before it packs them and goes on, and words that a tokenizer remembers.
@@ -21,6 +23,52 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 ARROW = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in PIECES.split(", ")])
 
 
+#: A word of lower-case Latin letters that no normalizer changes and no piece pattern cuts, and a mark after it.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,]?)\Z")
+
+
+class WordMerger:
+    """Byte-pair merges of many words in one call, for vocabularies whose words end in a suffix.
+
+    The merges run in ``tiktoken``: the suffix becomes a zero byte, joined to
+    the last byte before all else, and every other token keeps its order.  That
+    gives the library's ids as long as each token's own text encodes to that
+    token, which the tests check for all words of a corpus.
+    """
+
+    def __init__(self, spec: dict, suffix: str):
+        import tiktoken
+
+        letters = byte_letters()
+        raw = lambda t: bytes(letters[c] for c in t.removesuffix(suffix)) + (b"\0" if t.endswith(suffix) else b"")
+        special = {t["content"] for t in spec["added_tokens"]}
+        vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
+        single = [raw(c) for c in letters]
+        ends = [b + b"\0" for b in single]
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
+        order = dict.fromkeys([*single, b"\0", *ends, *map(raw, merged)])
+        ranks = {b: k for k, b in enumerate(order)}
+        ids = {raw(t): i for t, i in vocab.items()}
+        self.id_of = np.array([ids.get(b, 0) for b in order], dtype="<u4")
+        self.last = np.array([b.endswith(b"\0") for b in order])
+        self.engine = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})
+
+    @classmethod
+    def of(cls, file: str) -> WordMerger | None:
+        with open(file, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        return cls(spec, suffix) if suffix else None
+
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        if not words:
+            return []
+        got = np.array(self.engine.encode_ordinary(b"\0 ".join(words).decode() + "\0"), dtype=np.int64)
+        ids = self.id_of[got].tobytes()
+        ends = ((np.flatnonzero(self.last[got]) + 1) * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 class WordTokenizer:
     """Ids by the ``tokenizers`` library, once for each distinct word.
 
@@ -40,36 +88,40 @@ class WordTokenizer:
         self.lower = self.library.normalizer is not None and self.library.normalizer.normalize_str("A") == "a"
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.marks = {m: self.ids_of([m])[0] for m in ".,"}
+        self.marks = {m: self.ids_of([m.decode()])[0] if m else b"" for m in (b".", b",", b"")}
+        self.merger = WordMerger.of(vocabulary_file(name)) if self.lower else None
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(self, words: list[bytes]) -> None:
-        """Ids of words not met before.  A full stop or comma after a letter or digit is a piece of its own."""
-        young, old = self.young, self.old
-        unknown: dict[str, list[tuple[bytes, bytes]]] = {}
+        """Ids of words not met before.
+
+        Plain words go to a byte-pair merger in one call.  A full stop or comma
+        after a letter is a piece of its own.  All others go to the library.
+        """
+        young, old, marks = self.young, self.old, self.marks
+        plain: list[tuple[bytes, bytes, bytes]] = []
+        other: list[bytes] = []
         for w in words:
-            if w in old:
-                young[w] = old[w]
+            known = old.get(w)
+            if known is not None:
+                young[w] = known
                 continue
-            text = w.decode()
-            if len(text) > 1 and text[-1] in self.marks and text[-2] < "\u0100" and text[-2].isalnum():
-                base = w[:-1]
-                known = young.get(base) or old.get(base)
-                if known:
-                    young[w] = known + self.marks[text[-1]]
-                else:
-                    unknown.setdefault(text[:-1], []).append((w, self.marks[text[-1]]))
+            m = PLAIN.match(w) if self.merger else None
+            if m:
+                plain.append((w, m[1], marks[m[2]]))
             else:
-                unknown.setdefault(text, []).append((w, b""))
-        every = list(unknown)
-        for at in range(0, len(every), 8192):
-            part = every[at : at + 8192]
-            for text, ids in zip(part, self.ids_of(part), strict=True):
-                young[text.encode()] = ids
-                for w, mark in unknown[text]:
-                    young[w] = ids + mark
+                other.append(w)
+        if plain:
+            cores = list({core for _, core, _ in plain if core not in young})
+            young.update(zip(cores, self.merger.ids_of(cores), strict=True))
+            for w, core, mark in plain:
+                if mark:
+                    young[w] = young[core] + mark
+        for at in range(0, len(other), 8192):
+            part = other[at : at + 8192]
+            young.update(zip(part, self.ids_of([w.decode() for w in part]), strict=True))
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a UTF-8 text as little-endian unsigned 32-bit integers."""
