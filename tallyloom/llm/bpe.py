@@ -10,8 +10,10 @@ many words share is encoded once.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -24,6 +26,9 @@ from pyspark.sql import functions as F
 from .common import documents
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts whose characters are all below U+0100: letters, numbers and white space there.
+_L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+LATIN = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Characters of text that are cut into pieces at a time, and pieces that are remembered between batches.
 CHUNK_CHARS, KEPT_PIECES, KEPT_LENGTH = 2_000_000, 250_000, 48
 
@@ -54,8 +59,9 @@ class TrieEncoder:
         raw = lambda token: bytes(letters[c] for c in token)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        self.bytes_of = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.lengths = {i: len(b) for i, b in self.bytes_of.items()}
+        named = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.bytes_of = [named.get(i, b"") for i in range(max(named) + 1)]
+        self.lengths = list(map(len, self.bytes_of))
         merges = [(self.ids[raw(a)], self.ids[raw(b)]) for a, b in (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])]
         self.rank = {a << 32 | b: k for k, (a, b) in enumerate(merges)}
         self.made = {self.ids[self.bytes_of[a] + self.bytes_of[b]]: (a, b, k) for k, (a, b) in enumerate(merges)}
@@ -170,11 +176,18 @@ class TrieEncoder:
     def cut(self, text: str) -> list[str]:
         """Pieces of ordinary text, as the ``tokenizers`` library cuts them.
 
+        Texts of Latin letters alone go by a pattern of plain character classes.
+
         Two Unicode versions may class a character differently: each character
         is probed once with the library, and texts with one that differs are cut
         by the library itself.
         """
-        if not text.isascii() and (new := set(text).difference(self.seen)):
+        try:
+            text.encode("latin-1")
+            return LATIN.findall(text)
+        except UnicodeEncodeError:
+            pass
+        if (new := set(text).difference(self.seen)):
             if self.cutter is None:
                 from tokenizers import Tokenizer
 
@@ -196,6 +209,15 @@ class TrieEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        collected = gc.isenabled()
+        gc.disable()  # millions of short-lived objects, and no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collected:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         at = 0
         while at < len(texts):
