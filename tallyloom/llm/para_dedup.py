@@ -19,6 +19,8 @@ WIDTH, THRESHOLD, MIN_WORDS = 5, 0.8, 40
 BANDS, ROWS = 8, 3
 #: Buckets up to this size are compared pair by pair; larger ones through their commonest member.
 PAIRED = 24
+#: A shingle is rare if at most so many of the paragraphs in large buckets have it.
+RARE = 8
 
 _ODD = (np.random.default_rng(20_240_229).integers(1, 1 << 63, size=(BANDS * ROWS, 2), dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -170,12 +172,14 @@ def links(distinct: DataFrame, found: DataFrame, threshold: float, paired: int)
     rest = placed.where(F.col("j") < threshold)
     if not rest.limit(1).count():
         return edges
-    left = possible(placed, threshold, sized(placed.select("id").distinct(), sets)).select("a", "b").distinct()
+    sizes, postings = sized(placed.select("id").distinct(), sets)
+    left = possible(placed, threshold, sizes, postings).distinct()
     return edges.union(similar(left, sets).where(F.col("j") >= threshold).select("a", "b"))
 
 
-def sized(ids: DataFrame, sets: DataFrame) -> DataFrame:
-    """``id, size, alone``: how many shingles a set has, and how many of them no other of these sets has."""
+def sized(ids: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, size, rare``: how many shingles a set has, how many of them at most ``RARE`` of these sets have; and
+    ``shingle, id`` of rare shingles that two sets or more have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,37 +189,52 @@ def sized(ids: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 1000], list(map(len, part)))), pa.array(np.concatenate(part))], names=["id", "shingle"])
 
     mine = ids.join(sets, "id")
-    single = mine.mapInArrow(run, "id long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-    alone = single.groupBy("id").agg(F.count("*").alias("alone"))
-    return mine.select("id", (F.length("set") / 8).cast("long").alias("size")).join(alone, "id", "left").select("id", "size", F.coalesce("alone", F.lit(0)).alias("alone"))
+    every = Stored(mine.mapInArrow(run, "id long, shingle long"), "shingles").df
+    known = every.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
+    rare = Stored(every.join(known, "shingle"), "rare").df
+    counts = rare.groupBy("id").agg(F.count("*").alias("rare"))
+    sizes = mine.select("id", (F.length("set") / 8).cast("long").alias("size")).join(counts, "id", "left").select("id", "size", F.coalesce("rare", F.lit(0)).alias("rare"))
+    return Stored(sizes, "sizes").df, rare.where("n > 1").select("shingle", "id")
 
 
-def possible(placed: DataFrame, threshold: float, sizes: DataFrame) -> DataFrame:
+def possible(placed: DataFrame, threshold: float, sizes: DataFrame, postings: DataFrame) -> DataFrame:
     """Pairs of a member that is too far from its bucket's commonest one with any member it may yet be close to.
 
-    Two sets share at most what neither has alone, which bounds their
-    similarity by their sizes; so a member is sent only to the sizes that it
-    can match (in steps of 2 %), and meets there what its bucket has of them.
-    Most edited copies have too many shingles of their own to match anything
-    of their size, so the pairs do not grow with the square of the bucket.
+    Two sets that share ``s`` of their rare shingles share at most those and
+    what is not rare, which bounds their similarity.  Pairs with a rare shingle
+    in common meet at it, at most ``RARE`` sets at each, and are tallied.
+    Pairs without meet in their bucket; there a member is sent only to the
+    sizes (in steps of 2 %) that the bound allows it.  Edited copies mostly
+    have more rare shingles than the bound allows, so what meets does not grow
+    with the square of a bucket.
     """
     known = placed.join(sizes, "id").withColumn("level", F.floor(F.log("size") * 50))
-    o = F.col("size") - F.col("alone")
+    far = known.where(F.col("j") < threshold)
+    enough = lambda shared: shared * (1 + threshold) >= threshold * (F.col("sa") + F.col("sb")) - 1e-6
+    ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+
+    side = lambda df, x: df.select(F.col("id").alias(x), F.col("size").alias(f"s{x}"), (F.col("size") - F.col("rare")).alias(f"o{x}"))
+    left = postings.join(far.select("id").distinct(), "id", "left_semi").select("shingle", F.col("id").alias("a"))
+    tallied = left.join(postings.select("shingle", F.col("id").alias("b")), "shingle").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("s"))
+    met = tallied.join(side(sizes, "a"), "a").join(side(sizes, "b"), "b")
+    met = met.where(enough(F.least(F.col("oa") + F.col("s"), F.col("ob") + F.col("s")))).select(*ends)
+
+    o = F.col("size") - F.col("rare")
     low = F.floor(F.log(F.col("size") * threshold) * 50 - 1e-6)
-    # o / (size + other - o) >= threshold bounds the other's size; it also has o shingles at least.
+    # o / (size + other - o) >= threshold bounds the other's size.
     most = o * ((1 + threshold) / threshold) - F.col("size")
     high = F.floor(F.log(F.greatest(most, F.lit(1.0))) * 50 + 1e-6)
-    rest = known.where((F.col("j") < threshold) & (most >= F.col("size") * threshold) & (high >= low))
+    rest = far.where((most >= F.col("size") * threshold) & (high >= low))
     rest = rest.select("band", "key", F.col("id").alias("a"), F.col("j").alias("ja"), F.col("size").alias("sa"), o.alias("oa"), F.explode(F.sequence(low, high)).alias("level"))
     other = known.select("band", "key", "level", F.col("id").alias("b"), F.col("j").alias("jb"), F.col("size").alias("sb"), o.alias("ob"))
-    shared = F.least("oa", "ob")
-    return (
+    apart = (
         rest.join(other, ["band", "key", "level"])
         .where((F.col("a") != F.col("b")) & (F.abs(F.col("ja") - F.col("jb")) <= 1 - threshold + 1e-9))
         .where((F.col("jb") >= threshold) | (F.col("a") < F.col("b")))
-        .where(shared * (1 + threshold) >= threshold * (F.col("sa") + F.col("sb")) - 1e-6)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .where(enough(F.least("oa", "ob")))
+        .select(*ends)
     )
+    return met.union(apart)
 
 
 def shared_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, paired: int = PAIRED) -> DataFrame:
