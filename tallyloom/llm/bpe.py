@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, worker_cache
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts whose characters are all below U+0100: letters, numbers and white space there.
@@ -248,14 +248,12 @@ class TrieEncoder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
 
 
-_encoders: dict[str, TrieEncoder] = {}
-
-
 def encoder(name: str) -> TrieEncoder:
     """One encoder for each worker process and vocabulary, with what it has learnt of pieces."""
-    if name not in _encoders:
-        _encoders[name] = TrieEncoder(name)
-    return _encoders[name]
+    kept = worker_cache("bpe")
+    if name not in kept:
+        kept[name] = TrieEncoder(name)
+    return kept[name]
 
 
 def encoded(text: str, vocabulary: str) -> Column:

@@ -32,6 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """A dictionary that stays in a worker process between tasks of one operator; those of other operators go."""
+    for other in [o for o in _caches if o != owner]:
+        del _caches[other]
+    return _caches.setdefault(owner, {})
+
+
 class Stored:
     """A frame written as Parquet into the shared folder: it cuts lineage and outlives any executor."""
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, documents
+from .common import Stored, documents, worker_cache
 
 #: Classes: the commonest words have one each, other words share the rest by their ending.
 CLASSES, OWN = 32, 12
@@ -44,6 +44,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     """``word, spelled, c`` of all texts: lower-cased words, and one end for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("maxent")
         counts: Counter = Counter()
 
         def frame() -> pa.RecordBatch:
@@ -90,14 +91,12 @@ class Coder(dict):
 
 
 TAIL = (1 << 31) - 1
-_coders: dict[int, Coder] = {}
-
-
 def coder(head: list[bytes], name: int) -> Coder:
-    if name not in _coders:
-        _coders.clear()
-        _coders[name] = Coder(head)
-    return _coders[name]
+    kept = worker_cache("maxent")
+    if name not in kept:
+        kept.clear()
+        kept[name] = Coder(head)
+    return kept[name]
 
 
 def contexts(codes: np.ndarray, begins: np.ndarray) -> np.ndarray:

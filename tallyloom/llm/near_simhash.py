@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, components, documents
+from .common import Stored, components, documents, worker_cache
 
 BYTES = 8
 #: The four 2-byte groups of a fingerprint, as masks.
@@ -48,6 +48,7 @@ def fingerprint_column(text: str, width: int = 3, seed: int = 42) -> Column:
 
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
+        worker_cache("near_simhash")
         return pd.Series([simhash64(t, width, seed) for t in texts], dtype="int64")
 
     return run(F.col(text).cast("binary"))

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters, vocabulary_file
-from .common import documents
+from .common import documents, worker_cache
 
 #: Tokens of pieces that a task holds before it packs them and goes on, and words that a tokenizer remembers.
-HELD_TOKENS, KEPT_WORDS, KEPT_LENGTH = 12_000_000, 250_000, 48
+HELD_TOKENS, KEPT_WORDS, KEPT_LENGTH = 12_000_000, 200_000, 48
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in PIECES.split(", ")])
@@ -140,13 +140,11 @@ class WordTokenizer:
         return out
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(name: str) -> WordTokenizer:
-    if name not in _tokenizers:
-        _tokenizers[name] = WordTokenizer(name)
-    return _tokenizers[name]
+    kept = worker_cache("packing")
+    if name not in kept:
+        kept[name] = WordTokenizer(name)
+    return kept[name]
 
 
 class OpenWindows:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, components, documents
+from .common import Stored, components, documents, worker_cache
 
 #: Words of a shingle, least similarity, and least words of a paragraph that may be removed.
 WIDTH, THRESHOLD, MIN_WORDS = 5, 0.8, 40
@@ -72,6 +72,7 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Lines of ``min_words`` words or more: places in code points, a 128-bit key of their words, band keys, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("passages")
         rows: list[tuple] = []
         sets: list[np.ndarray] = []
         size = 0

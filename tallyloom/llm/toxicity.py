@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, documents, table
+from .common import Stored, documents, table, worker_cache
 
 #: Bounds of what is fitted: labelled rows that the classifier learns from, and features that it keeps.
 LABELLED_ROWS, FEATURES = 40_000, 2_000
@@ -56,9 +56,10 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         code = np.full(0x110000 + 1, -1, dtype=np.int8)
         code[[ord(c) for c in SYMBOLS]] = list(SYMBOLS.values())
         code[32] = EDGE
-        for batch in batches:
+        worker_cache("toxicity")
+        for texts in (b["text"].iloc[at : at + 250] for b in batches for at in range(0, len(b), 250)):
             words: Counter = Counter()
-            for text in batch["text"]:
+            for text in texts:
                 if text:
                     words.update(text.lower().split())
             if not words:
@@ -187,9 +188,6 @@ def _single(t: str) -> bool:
     return len(t) == 1
 
 
-_restorers: dict[int, Restorer] = {}
-
-
 def restored(text: str, model: np.ndarray) -> Column:
     """The restored text of a column (null: empty)."""
     packed = model.astype(np.float32).tobytes()
@@ -197,10 +195,11 @@ def restored(text: str, model: np.ndarray) -> Column:
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        r = _restorers.get(name)
+        kept = worker_cache("toxicity")
+        r = kept.get(name)
         if r is None:
-            _restorers.clear()
-            r = _restorers[name] = Restorer(np.frombuffer(packed, dtype=np.float32).reshape(SIZE, SIZE, SIZE).astype(float))
+            kept.clear()
+            r = kept[name] = Restorer(np.frombuffer(packed, dtype=np.float32).reshape(SIZE, SIZE, SIZE).astype(float))
         return pd.Series(["" if t is None else r.text(t) for t in texts], dtype=object)
 
     return run(F.col(text))
