@@ -134,17 +134,28 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, not anew for each element of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cooccurrences(text: Column) -> Column:
     """Every two words of a text in their order, joined by a space: quadratic in the words, so for short texts."""
-    w = words_of(text)
-    pairs = F.transform(w, lambda x, i: F.transform(F.slice(w, i + 2, F.size(w)), lambda y: F.concat(x, F.lit(" "), y)))
-    return F.flatten(pairs)
+
+    def pairs(w: Column) -> Column:
+        return F.flatten(F.transform(w, lambda x, i: F.transform(F.slice(w, i + 2, F.size(w)), lambda y: F.concat(x, F.lit(" "), y))))
+
+    return _bound(words_of(text), pairs)
 
 
 def words_and_bigrams(text: Column) -> Column:
     """Words, and each two neighbours joined by ``_``."""
-    w = words_of(text)
-    return F.concat(w, F.filter(F.transform(w, lambda x, i: F.concat(x, F.lit("_"), F.get(w, i + 1))), lambda b: b.isNotNull()))
+
+    def both(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda x, y: F.concat(x, F.lit("_"), y)))
+
+    return _bound(words_of(text), both)
 
 
 def ngram_pattern(words: Sequence[str]) -> str:

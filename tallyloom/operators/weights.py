@@ -13,10 +13,10 @@ def strata(frame: DataFrame, sample: DataFrame, by: Sequence[str]) -> DataFrame:
     f = frame.groupBy(*by).agg(F.count("*").alias("frame_count"))
     s = sample.groupBy(*by).agg(F.count("*").alias("sample_count"))
     both = f.join(s, list(by), "full_outer").na.fill(0, ["frame_count", "sample_count"])
-    totals = both.agg(F.sum("frame_count").alias("N"), F.sum("sample_count").alias("n"))
+    totals = both.agg(F.sum("frame_count").alias("frame_total"), F.sum("sample_count").alias("sample_total"))
     both = both.join(F.broadcast(totals))
     share = lambda a, b: F.try_divide(F.col(a), F.col(b))
-    return both.select(*by, "frame_count", "sample_count", share("frame_count", "N").alias("frame_pct"), share("sample_count", "n").alias("sample_pct"))
+    return both.select(*by, "frame_count", "sample_count", share("frame_count", "frame_total").alias("frame_pct"), share("sample_count", "sample_total").alias("sample_pct"))
 
 
 def poststratification(frame: DataFrame, sample: DataFrame, by: Sequence[str], name: str = "weight") -> DataFrame:
@@ -44,8 +44,8 @@ def balancing(df: DataFrame, by: Sequence[str], name: str = "balancing_weight")
     for k in known[1:]:
         whole = whole & k
     groups = df.where(whole).groupBy(*by).agg(F.count("*").alias("n_g"))
-    totals = groups.agg(F.sum("n_g").alias("n"), F.count("*").alias("K"))
-    factor = groups.join(F.broadcast(totals)).select(*by, (F.col("n") / (F.col("K") * F.col("n_g"))).alias(name))
+    totals = groups.agg(F.sum("n_g").alias("total"), F.count("*").alias("groups"))
+    factor = groups.join(F.broadcast(totals)).select(*by, (F.col("total") / (F.col("groups") * F.col("n_g"))).alias(name))
     return df.join(factor, list(by), "left").withColumn(name, F.coalesce(name, F.lit(1.0)))
 
 
