@@ -9,6 +9,7 @@ and averaged; counts are exact and cover all training texts.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Iterator
 
@@ -118,8 +119,12 @@ def class_logits(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
     z = weights[at[:, 0]]
     for k in range(1, at.shape[1]):
         z += weights[at[:, k]]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    with np.errstate(over="ignore"):
+        total = np.exp(z).sum(axis=1, keepdims=True)
+    if len(z) and not (total.min() > 1e-30 and total.max() < 1e30):
+        z -= z.max(axis=1, keepdims=True)
+        total = np.exp(z).sum(axis=1, keepdims=True)
+    z -= np.log(total)
     return z
 
 
@@ -157,16 +162,19 @@ class Learner:
     def step(self, at: np.ndarray, classes: np.ndarray) -> None:
         slope = np.exp(class_logits(self.w, at))
         slope[np.arange(len(classes)), classes] -= 1
-        flat = slope.ravel().astype(np.float64)
-        column = np.arange(CLASSES)
+        slope /= len(classes)
         for k in range(at.shape[1]):
-            low = k * BUCKETS
-            index = ((at[:, k] - low)[:, None] * CLASSES + column).ravel()
-            g = (np.bincount(index, weights=flat, minlength=BUCKETS * CLASSES) / len(classes)).reshape(BUCKETS, CLASSES)
-            part, grown = self.w[low : low + BUCKETS], self.grown[low : low + BUCKETS]
-            grown += 1e3 * g * g
-            part -= RATE * g * 31.6 / np.sqrt(grown)
-            self.seen[low : low + BUCKETS] += np.bincount(at[:, k] - low, minlength=BUCKETS)
+            # Rows of one bucket come together, then their slopes are summed run by run.
+            bucket = (at[:, k] - k * BUCKETS).astype(np.uint16)
+            order = np.argsort(bucket, kind="stable")
+            runs = bucket[order]
+            starts = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
+            rows = runs[starts].astype(np.int64) + k * BUCKETS
+            g = np.add.reduceat(slope[order], starts, axis=0)
+            grown = self.grown[rows] + 1e3 * g * g
+            self.grown[rows] = grown
+            self.w[rows] -= RATE * 31.6 * g / np.sqrt(grown)
+            self.seen[rows] += np.diff(np.append(starts, len(runs)))
 
 
 def learn(texts: DataFrame, head: list[bytes], prior: np.ndarray, name: int) -> np.ndarray:
@@ -175,10 +183,12 @@ def learn(texts: DataFrame, head: list[bytes], prior: np.ndarray, name: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Learner(prior)
+        gc.disable()  # long lists of words, and no cycles
         for codes, begins, _ in coded_batches(batches, coder(head, name)):
             at, classes = contexts(codes, begins), (codes >> 16) & 0xFFFF
             for k in range(0, len(codes), BATCH):
                 model.step(at[k : k + BATCH], classes[k : k + BATCH])
+        gc.enable()
         some = np.nonzero(model.seen)[0]
         yield pa.RecordBatch.from_arrays(
             [pa.array(some, pa.int32()), pa.array(model.seen[some], pa.float64())] + [pa.array(model.w[some, k].astype(np.float64) * model.seen[some]) for k in range(CLASSES)],
@@ -254,6 +264,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, head_limit: int
         words, logs = sent.value
         c, rid = coder(words, name), TaskContext.get().partitionId() << 33
         logs = np.append(logs, 0.0)
+        gc.disable()
         for codes, begins, rows in coded_batches(batches, c):
             rank, classes = codes >> 32, (codes >> 16) & 0xFFFF
             at = contexts(codes, begins)
@@ -283,6 +294,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, head_limit: int
                 schema=SCORED,
             )
             rid += len(rows)
+        gc.enable()
 
     scored = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, SCORED_DDL)
     rows = Stored(scored, "scored").df
