@@ -1,6 +1,6 @@
 """All queries of the library, and the SQL of those that SQL can express."""
 
-from . import coding, learning, texts  # noqa: F401
+from . import coding, learning, streams, texts  # noqa: F401
 
 QUERIES = coding.QUERIES
 SQL = coding.SQL
