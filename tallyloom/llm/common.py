@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -32,13 +34,33 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Texts that go to Python at a time.  Spark's own 10,000 rows are made for numbers; of texts they take hundreds of MB.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
 _caches: dict[str, dict] = {}
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself; its session now sends texts to Python in batches of bounded size, unless they were smaller already."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key) or ""
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def worker_cache(owner: str) -> dict:
     """A dictionary that stays in a worker process between tasks of one operator; those of other operators go."""
-    for other in [o for o in _caches if o != owner]:
+    others = [o for o in _caches if o != owner]
+    for other in others:
         del _caches[other]
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: freed memory stays with the process
+            pass
     return _caches.setdefault(owner, {})
 
 

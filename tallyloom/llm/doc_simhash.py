@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, documents
+from .common import Stored, documents, small_batches
 
 BITS = 128
 #: A term's weight grows with its length: short words are the ones most texts share.
@@ -111,7 +111,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     of as many rows as there are ranges.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(F.col("doc_id").desc())
+    dealt = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(F.col("doc_id").desc())
     dealt = dealt.sortWithinPartitions(F.col("doc_id").desc(), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

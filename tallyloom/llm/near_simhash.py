@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, components, documents, worker_cache
+from .common import Stored, components, documents, small_batches, worker_cache
 
 BYTES = 8
 #: The four 2-byte groups of a fingerprint, as masks.
@@ -134,7 +134,7 @@ def simhash_groups(docs: DataFrame, radius: int = 2, width: int = 3, list_limit:
     its class but never names it; an empty table gives no rows.  Other columns
     are ignored.
     """
-    fps = Stored(docs.select("doc_id", fingerprint_column("text", width).alias("fp")), "fps")
+    fps = Stored(small_batches(docs).select("doc_id", fingerprint_column("text", width).alias("fp")), "fps")
     classes = Stored(fps.df.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     found = components(links(classes.df, radius, list_limit))
     final = Stored(

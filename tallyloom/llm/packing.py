@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters, vocabulary_file
-from .common import documents, worker_cache
+from .common import documents, small_batches, worker_cache
 
 #: Tokens of pieces that a task holds before it packs them and goes on, and words that a tokenizer remembers.
 HELD_TOKENS, KEPT_WORDS, KEPT_LENGTH = 12_000_000, 200_000, 48
@@ -266,7 +266,7 @@ def pack_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "word_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return packed(tokenized(batches, vocabulary, end_id), window, TaskContext.get().partitionId())
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, PIECES)
 
 

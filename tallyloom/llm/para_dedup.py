@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, components, documents, worker_cache
+from .common import Stored, components, documents, small_batches, worker_cache
 
 #: Words of a shingle, least similarity, and least words of a paragraph that may be removed.
 WIDTH, THRESHOLD, MIN_WORDS = 5, 0.8, 40
@@ -106,7 +106,7 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         if rows:
             yield frame()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND_DDL)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND_DDL)
 
 
 def jaccard_column(a: str, b: str) -> Column:

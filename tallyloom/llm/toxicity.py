@@ -18,11 +18,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, documents, table, worker_cache
+from .common import Stored, documents, small_batches, table, worker_cache
 
 #: Bounds of what is fitted: labelled rows that the classifier learns from, and features that it keeps.
 LABELLED_ROWS, FEATURES = 40_000, 2_000
-KEPT_TOKENS = 200_000
+KEPT_TOKENS = 150_000
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t"}
@@ -263,9 +263,14 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, size: int, start: np.nda
 def scored(said: str, weights: dict[int, float], bias: float) -> Column:
     """Probability that a restored text is toxic."""
 
+    name = hash(tuple(sorted(weights.items())))
+
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        known: dict[str, tuple] = {}
+        kept = worker_cache("toxicity")
+        if kept.get("weights") != name:
+            kept["weights"], kept["live"] = name, {}
+        known: dict[str, tuple] = kept["live"]
 
         def live(word: str) -> tuple:
             found = known.get(word)
@@ -296,6 +301,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABE
     a label are scored like others; without labels every score is 0; a null id
     is not held out and never learnt from.
     """
+    small_batches(docs)
     held = F.coalesce(is_held_out(), F.lit(False))
     model = language_model(trigram_counts(docs.where(~held)))
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
