@@ -70,7 +70,7 @@ def replaced(text: Column, replacers: Sequence[tuple[str, str]]) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences end at a full stop, question or exclamation mark before white space, and at line breaks."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def sentence_filter(text: Column, patterns: Sequence[str]) -> Column:
@@ -212,7 +212,7 @@ def anchors_text(anchors: Column) -> Column:
 
 
 def anchors_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(text, ","), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def column_suffix(name: Column) -> Column:
