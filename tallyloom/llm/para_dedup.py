@@ -189,7 +189,7 @@ def sized(ids: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
                 part = found[at : at + 1000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 1000], list(map(len, part)))), pa.array(np.concatenate(part))], names=["id", "shingle"])
 
-    mine = ids.join(sets, "id")
+    mine = ids.join(sets, "id").repartition("id")
     every = Stored(mine.mapInArrow(run, "id long, shingle long"), "shingles").df
     known = every.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
     rare = Stored(every.join(known, "shingle"), "rare").df
