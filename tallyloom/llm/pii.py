@@ -35,7 +35,7 @@ EXTRA = {
     "phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
 }
 #: Whether a text can match at all: plain searches before the patterns.
-NEEDS = {"email": ("@", r"[(\[{](?i:at|@)[)\]}]"), "ip": (".", r"[0-9][(\[{]"), "card": (None, r"[0-9]{4}[./_][0-9]{4}"), "phone": ("+", r"[0-9][\x20.-][0-9]{3}[\x20.-][0-9]{4}")}
+NEEDS = {"email": ("@", r"[(\[{](?i:at|@)[)\]}]"), "ip": (".", r"[0-9][(\[{]"), "card": (None, r"[0-9]{4}[./_][0-9]{4}"), "phone": ("+", r"[0-9)][\x20.-]?[0-9]{3}[\x20.-][0-9]{4}")}
 #: Endings of mail domains, first digits of card issuers, calling codes: small lists, since they only vote.
 DOMAINS = "com|org|net|edu|gov|io|info|biz|de|fr|es|uk|it|nl|eu|us|ca|au|jp|cn|in|br|ru|ch|at|be|pl|se"
 ISSUERS = r"4|5[1-5]|2[2-7]|3[47]|6(?:011|4|5)|35|62"
