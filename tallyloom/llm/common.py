@@ -83,6 +83,22 @@ class Stored:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Stored frames that can go once what was made of them is stored itself."""
+
+    def __init__(self):
+        self.held: list[Stored] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.held.append(Stored(df, name))
+        return self.held[-1].df
+
+    def clear(self) -> None:
+        for t in self.held:
+            t.discard()
+        self.held.clear()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> Stored:
     """Connected components of undirected ``edges(a, b)`` over longs.
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, components, documents, small_batches, worker_cache
+from .common import Scratch, Stored, components, documents, small_batches, worker_cache
 
 BYTES = 8
 #: The four 2-byte groups of a fingerprint, as masks.
@@ -79,7 +79,7 @@ def postings(classes: DataFrame) -> DataFrame:
     return classes.select("fp", "rep", F.explode(F.array(*pairs)).alias("k")).select("k.combo", "k.bytes", "fp", "rep")
 
 
-def links(classes: DataFrame, radius: int = 2, list_limit: int = 64) -> DataFrame:
+def links(classes: DataFrame, radius: int = 2, list_limit: int = 64, scratch: Scratch | None = None) -> DataFrame:
     """Edges ``(a, b)`` of representatives that connect all fingerprints within ``radius`` (at most 2) bits.
 
     Posting lists up to ``list_limit`` are joined with themselves: the shared
@@ -90,12 +90,13 @@ def links(classes: DataFrame, radius: int = 2, list_limit: int = 64) -> DataFram
     they meet at such a value, and what meets is linked to its smallest member,
     so no link between components is lost and the work stays linear.
     """
+    scratch = scratch or Scratch()
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2")
     listed = postings(classes)
     sizes = listed.groupBy("combo", "bytes").agg(F.count("*").alias("n")).where("n > 1")
-    members = Stored(listed.join(sizes, ["combo", "bytes"]), "postings")
-    short = members.df.where(F.col("n") <= list_limit)
+    members = scratch.keep(listed.join(sizes, ["combo", "bytes"]), "postings")
+    short = members.where(F.col("n") <= list_limit)
     other = short.select("combo", "bytes", F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
     xor = F.col("fp").bitwiseXOR(F.col("fp2"))
     pairs = (
@@ -105,24 +106,24 @@ def links(classes: DataFrame, radius: int = 2, list_limit: int = 64) -> DataFram
         .where(F.bit_count(xor) <= radius)
         .select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
     )
-    if not members.df.where(F.col("n") > list_limit).limit(1).count():
+    if not members.where(F.col("n") > list_limit).limit(1).count():
         return pairs
     flips = []
     for a, b in combinations(GROUPS, 2):
         free = [i for i in range(64) if not ((a | b) >> i) & 1]
         flips.append(F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)).cast("long") for i in free)))
     masks = F.array(*flips)
-    spread = members.df.where(F.col("n") > list_limit).select(
+    spread = members.where(F.col("n") > list_limit).select(
         "combo", "rep", F.col("fp"), F.explode(F.element_at(masks, F.col("combo") + 1)).alias("flip")
     ).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("value"), "fp", "rep")
     if radius < 2:
         spread = spread.where(F.col("value") == F.col("fp")) if radius == 0 else spread
-    met = Stored(spread.groupBy("value", "fp", "rep").agg(F.count("*").alias("c")).drop("c"), "values")
-    heads = met.df.groupBy("value").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.min_by("fp", "rep").alias("hfp")).where("a <> z")
-    star = met.df.join(heads, "value").where("rep <> a")
+    met = scratch.keep(spread.groupBy("value", "fp", "rep").agg(F.count("*").alias("c")).drop("c"), "values")
+    heads = met.groupBy("value").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.min_by("fp", "rep").alias("hfp")).where("a <> z")
+    star = met.join(heads, "value").where("rep <> a")
     if radius == 1:
         # At radius 1 two values may meet two bits apart; only those one bit apart count, and each has its own value.
-        star = met.df.join(met.df.where("value = fp").select("value", F.col("rep").alias("a")), "value").where("rep <> a")
+        star = met.join(met.where("value = fp").select("value", F.col("rep").alias("a")), "value").where("rep <> a")
     return pairs.union(star.select("a", F.col("rep").alias("b")))
 
 
@@ -136,11 +137,15 @@ def simhash_groups(docs: DataFrame, radius: int = 2, width: int = 3, list_limit:
     """
     fps = Stored(small_batches(docs).select("doc_id", fingerprint_column("text", width).alias("fp")), "fps")
     classes = Stored(fps.df.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    found = components(links(classes.df, radius, list_limit))
+    scratch = Scratch()
+    found = components(links(classes.df, radius, list_limit, scratch))
+    scratch.clear()
     final = Stored(
         classes.df.join(found.df.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")),
         "groups",
     )
+    for t in (classes, found):
+        t.discard()
     return fps.df.join(final.df, "fp").select("doc_id", "fp", "component_id")
 
 

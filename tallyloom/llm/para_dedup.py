@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, components, documents, small_batches, worker_cache
+from .common import Scratch, Stored, components, documents, small_batches, worker_cache
 
 #: Words of a shingle, least similarity, and least words of a paragraph that may be removed.
 WIDTH, THRESHOLD, MIN_WORDS = 5, 0.8, 40
@@ -139,7 +139,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("j", jaccard_column("sa", "sb")).drop("sa", "sb")
 
 
-def links(distinct: DataFrame, found: DataFrame, threshold: float, paired: int) -> DataFrame:
+def links(distinct: DataFrame, found: DataFrame, threshold: float, paired: int, scratch: Scratch | None = None) -> DataFrame:
     """Edges ``(a, b)`` between ids of distinct paragraphs that connect all colliding ones of ``threshold`` or more.
 
     Small buckets are compared pair by pair.  In a large one all members are
@@ -148,15 +148,14 @@ def links(distinct: DataFrame, found: DataFrame, threshold: float, paired: int)
     member whose distance from the commonest one differs by no more than the
     threshold allows, Jaccard distance being a metric.
     """
+    scratch = scratch or Scratch()
     bands = F.array(*(F.struct(F.lit(k).cast("int").alias("band"), F.col(f"b{k}").alias("key")) for k in range(BANDS)))
     posted = distinct.select("id", "n", F.explode(bands).alias("at")).select("at.band", "at.key", "id", "n")
     sizes = posted.groupBy("band", "key").agg(F.count("*").alias("size"), F.max("n").alias("most")).where("size > 1")
-    met = Stored(posted.join(sizes, ["band", "key"]), "buckets").df
+    met = scratch.keep(posted.join(sizes, ["band", "key"]), "buckets")
     wanted = met.select("id").distinct().join(distinct.select("id", "hi", "lo", "at"), "id")
     said = found.select("hi", "lo", F.xxhash64("doc_id", "start").alias("at"), "said")
-    sets = Stored(
-        said.join(wanted, ["hi", "lo", "at"]).select("id", set_column("said").alias("set")).dropDuplicates(["id"]), "sets"
-    ).df
+    sets = scratch.keep(said.join(wanted, ["hi", "lo", "at"]).select("id", set_column("said").alias("set")).dropDuplicates(["id"]), "sets")
     small = met.where(F.col("size") <= paired).select("band", "key", "id")
     pairs = (
         small.withColumnRenamed("id", "a").join(small.withColumnRenamed("id", "b"), ["band", "key"]).where("a < b").select("a", "b").distinct()
@@ -167,18 +166,18 @@ def links(distinct: DataFrame, found: DataFrame, threshold: float, paired: int)
         return edges
     heads = large.where("n = most").groupBy("band", "key").agg(F.min("id").alias("head"))
     rays = large.join(heads, ["band", "key"]).where("id <> head").select("band", "key", F.col("id").alias("b"), F.col("head").alias("a"))
-    known = Stored(similar(rays.select("a", "b").distinct(), sets), "rays").df
+    known = scratch.keep(similar(rays.select("a", "b").distinct(), sets), "rays")
     edges = edges.union(known.where(F.col("j") >= threshold).select("a", "b"))
-    placed = Stored(rays.join(known, ["a", "b"]).select("band", "key", F.col("b").alias("id"), "j"), "placed").df
+    placed = scratch.keep(rays.join(known, ["a", "b"]).select("band", "key", F.col("b").alias("id"), "j"), "placed")
     rest = placed.where(F.col("j") < threshold)
     if not rest.limit(1).count():
         return edges
-    sizes, postings = sized(placed.select("id").distinct(), sets)
+    sizes, postings = sized(placed.select("id").distinct(), sets, scratch)
     left = possible(placed, threshold, sizes, postings).distinct()
     return edges.union(similar(left, sets).where(F.col("j") >= threshold).select("a", "b"))
 
 
-def sized(ids: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sized(ids: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """``id, size, rare``: how many shingles a set has, how many of them at most ``RARE`` of these sets have; and
     ``shingle, id`` of rare shingles that two sets or more have."""
 
@@ -190,12 +189,12 @@ def sized(ids: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 1000], list(map(len, part)))), pa.array(np.concatenate(part))], names=["id", "shingle"])
 
     mine = ids.join(sets, "id").repartition("id")
-    every = Stored(mine.mapInArrow(run, "id long, shingle long"), "shingles").df
+    every = scratch.keep(mine.mapInArrow(run, "id long, shingle long"), "shingles")
     known = every.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
-    rare = Stored(every.join(known, "shingle"), "rare").df
+    rare = scratch.keep(every.join(known, "shingle"), "rare")
     counts = rare.groupBy("id").agg(F.count("*").alias("rare"))
     sizes = mine.select("id", (F.length("set") / 8).cast("long").alias("size")).join(counts, "id", "left").select("id", "size", F.coalesce("rare", F.lit(0)).alias("rare"))
-    return Stored(sizes, "sizes").df, rare.where("n > 1").select("shingle", "id")
+    return scratch.keep(sizes, "sizes"), rare.where("n > 1").select("shingle", "id")
 
 
 def possible(placed: DataFrame, threshold: float, sizes: DataFrame, postings: DataFrame) -> DataFrame:
@@ -246,15 +245,18 @@ def shared_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: in
     (``keep`` true, and of rows that repeat a document all); ``kept_in`` is
     that document.  Null and short texts have no paragraphs.
     """
-    found = Stored(paragraphs(docs, min_words), "paragraphs").df.where("doc_id is not null")
+    scratch = Scratch()
+    found = scratch.keep(paragraphs(docs, min_words), "paragraphs").where("doc_id is not null")
     grouped = found.groupBy("hi", "lo").agg(
         F.count("*").alias("n"), F.min(F.xxhash64("doc_id", "start")).alias("at"), *(F.max(f"b{k}").alias(f"b{k}") for k in range(BANDS))
     )
-    distinct = Stored(grouped.withColumn("id", F.monotonically_increasing_id()), "distinct").df
-    joined = components(links(distinct, found, threshold, paired)).df
-    classes = distinct.select("hi", "lo", "n", "id").join(joined.withColumnRenamed("node", "id"), "id", "left")
+    distinct = scratch.keep(grouped.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    joined = components(links(distinct, found, threshold, paired, scratch))
+    classes = distinct.select("hi", "lo", "n", "id").join(joined.df.withColumnRenamed("node", "id"), "id", "left")
     classes = classes.where("component is not null or n > 1").select("hi", "lo", F.coalesce("component", "id").alias("component"))
     shared = Stored(found.select("doc_id", "start", "end", "hi", "lo").join(classes, ["hi", "lo"]).drop("hi", "lo"), "shared").df
+    scratch.clear()
+    joined.discard()
     firsts = shared.groupBy("component").agg(F.min("doc_id").alias("kept_in"))
     where = shared.join(firsts, "component")
     starts = where.where("doc_id = kept_in").groupBy("component").agg(F.min("start").alias("first"), F.max("kept_in").alias("kept_in"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, documents, small_batches, table, worker_cache
+from .common import Scratch, documents, small_batches, table, worker_cache
 
 #: Bounds of what is fitted: labelled rows that the classifier learns from, and features that it keeps.
 LABELLED_ROWS, FEATURES = 40_000, 2_000
@@ -306,13 +306,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABE
     model = language_model(trigram_counts(docs.where(~held)))
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = marked.where(~is_held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
-    sample = Stored(docs.join(F.broadcast(chosen), "doc_id").select(restored("text", model).alias("said"), "toxic"), "labelled").df
+    scratch = Scratch()
+    sample = scratch.keep(docs.join(F.broadcast(chosen), "doc_id").select(restored("text", model).alias("said"), "toxic"), "labelled")
     totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     toxic, clean = totals["t"], totals["n"] - totals["t"]
     out = docs.withColumn("held_out", held).withColumn("said", restored("text", model))
     if not totals["n"]:
+        scratch.clear()
         return out.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
-    counted = Stored(count_features(sample).where(F.col("clean") + F.col("toxic") >= 4), "features").df
+    counted = scratch.keep(count_features(sample).where(F.col("clean") + F.col("toxic") >= 4), "features")
     p1, p0 = (F.col("toxic") + 0.5) / F.lit(toxic + 1.0), (F.col("clean") + 0.5) / F.lit(clean + 1.0)
     odds = F.log(p1 / p0)
     strength = F.abs(odds) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
@@ -324,6 +326,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABE
             yield pd.DataFrame({"toxic": batch["toxic"].astype("int64"), "at": [sorted(place[f] for f in document_features(t) if f in place) for t in batch["said"]]})
 
     rows = sample.mapInPandas(active, "toxic long, at array<int>").toPandas()
+    scratch.clear()
     fitted = fit_logistic([np.asarray(r, dtype=np.int64) for r in rows["at"]], rows["toxic"].to_numpy(), len(place), 0.1 * top["odds"].to_numpy(dtype=float))
     weights = {f: float(fitted[i]) for f, i in place.items()}
     out = out.withColumn("score", scored("said", weights, float(fitted[-1])))
