@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_frame(df: DataFrame, path: str, refresh: bool = False) -> bool:
