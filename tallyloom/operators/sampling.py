@@ -24,9 +24,31 @@ def keyword_flags(df: DataFrame, patterns: dict[str, str], text: str = "text") -
     return out.withColumn("search_none", none)
 
 
+#: Draws over this size are cut by a histogram of their keys instead of one task's sort.
+SORTED_DRAW = 10_000
+
+
 def simple(df: DataFrame, size: int, seed: int) -> DataFrame:
-    """``size`` rows without replacement, or all."""
-    return df.withColumn("_key", draw_key(seed)).orderBy("_key", "document_id").limit(size).drop("_key")
+    """``size`` rows without replacement, or all: those of the least keys.
+
+    A large draw counts keys by their first four hexadecimal digits (65,536
+    rows at most), takes all bins under the one where the size is reached, and
+    sorts only that bin.
+    """
+    keyed = df.withColumn("_key", draw_key(seed))
+    if size <= SORTED_DRAW:
+        return keyed.orderBy("_key", "document_id").limit(size).drop("_key")
+    binned = keyed.withColumn("_bin", F.substring("_key", 1, 4))
+    taken, edge = 0, None
+    for r in binned.groupBy("_bin").agg(F.count("*").alias("n")).orderBy("_bin").collect():
+        if taken + r["n"] > size:
+            edge = r["_bin"]
+            break
+        taken += r["n"]
+    if edge is None:
+        return df
+    rest = binned.where(F.col("_bin") == edge).orderBy("_key", "document_id").limit(size - taken)
+    return binned.where(F.col("_bin") < edge).unionByName(rest).drop("_key", "_bin")
 
 
 def quotas(df: DataFrame, by: Sequence[str], size: int, strategy: str = "stratify") -> DataFrame:
@@ -78,8 +100,11 @@ def keyword_oversample(flagged: DataFrame, proportions: dict[str, float], size:
 
 def fill_up(frame: DataFrame, drawn: DataFrame, size: int, seed: int) -> DataFrame:
     """``drawn`` and as many other rows of ``frame`` as ``size`` asks for; no more than ``size`` in all."""
-    first = drawn.select("document_id", F.lit(0).alias("turn")).union(frame.join(drawn, "document_id", "left_anti").select("document_id", F.lit(1).alias("turn")))
-    return first.withColumn("_key", draw_key(seed)).orderBy("turn", "_key", "document_id").limit(size).select("document_id")
+    drawn = drawn.select("document_id")
+    have = drawn.count()
+    if have >= size:
+        return simple(drawn, size, seed)
+    return drawn.union(simple(frame.join(drawn, "document_id", "left_anti").select("document_id"), size - have, seed))
 
 
 def unsampled(frame: DataFrame, *samples: DataFrame) -> DataFrame:
@@ -115,9 +140,9 @@ def folds(df: DataFrame, label: str, k: int, seed: int, name: str = "fold") -> D
 
 def train_test(df: DataFrame, test_percent: float, seed: int) -> DataFrame:
     """``is_test`` for exactly ceil(test_percent * n) rows; the rank is taken over ids and keys alone."""
-    ids = df.select("document_id").withColumn("_key", draw_key(seed))
+    ids = df.select("document_id")
     n = ids.agg(F.ceil(F.count("*") * F.lit(test_percent) - 1e-9).cast("long").alias("n")).first()["n"]
-    chosen = ids.orderBy("_key", "document_id").limit(n).select("document_id", F.lit(True).alias("is_test"))
+    chosen = simple(ids, n, seed).withColumn("is_test", F.lit(True))
     return df.join(chosen, "document_id", "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)))
 
 

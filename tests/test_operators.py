@@ -133,6 +133,12 @@ def test_samples_have_their_size_and_repeat(spark):
     a, b = (sorted(r["document_id"] for r in sampling.simple(df, 10, 1).collect()) for _ in range(2))
     assert a == b and len(a) == 10
     assert sampling.simple(df, 1000, 1).count() == 100
+    sorted_draw, sampling.SORTED_DRAW = sampling.SORTED_DRAW, 0
+    try:
+        assert sorted(r["document_id"] for r in sampling.simple(df, 10, 1).collect()) == a
+        assert sampling.simple(df, 100, 1).count() == 100
+    finally:
+        sampling.SORTED_DRAW = sorted_draw
     q = {r["s"]: r["quota"] for r in sampling.quotas(df, ["s"], 10).collect()}
     assert q == {0: 4, 1: 3, 2: 3}
     assert sampling.stratified(df, ["s"], 10, 1).count() == 10
