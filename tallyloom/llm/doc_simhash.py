@@ -155,5 +155,16 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     return rows.where("edge is null").select(*_NAMES).unionByName(closed)
 
 
+def with_neighbours(fingerprinted: DataFrame, asked: Column, radius: int = 3) -> DataFrame:
+    """``fingerprinted`` with ``n_near``: for rows that are asked for, how many other fingerprints of all rows lie within ``radius``; null for the rest."""
+    asked = F.coalesce(asked, F.lit(False))
+    queries, rest = fingerprinted.where(asked), fingerprinted.where(~asked)
+    all_ = fingerprinted.select(F.col("fingerprint").alias("fp"))
+    near = within_radius(queries.select(F.col("fingerprint").alias("fp")), all_, radius).groupBy(F.col("fp").alias("fingerprint")).agg(F.count("*").alias("n_near"))
+    found = queries.join(near, "fingerprint", "left").select(*fingerprinted.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    return found.unionByName(rest.withColumn("n_near", F.lit(None).cast("long")))
+
+
 def op9_weighted_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(documents(spark, sf_dir))
+    """Fingerprints of texts and edited texts; rows whose id is divisible by 20 search all rows for near fingerprints."""
+    return with_neighbours(edited_fingerprints(documents(spark, sf_dir)), F.col("doc_id") % 20 == 0)

@@ -419,6 +419,15 @@ def test_radius_search_equals_all_pairs(spark):
     assert got == want
 
 
+def test_neighbours_of_asked_rows(spark, docs, texts):
+    rows = {r["doc_id"]: r for r in doc_simhash.op9_weighted_simhash(spark, DATA).collect()}
+    prints = {r["fingerprint"] for r in rows.values()}
+    assert len(rows) == len(texts)
+    for i, r in rows.items():
+        near = sum(0 < (int(f, 16) ^ int(r["fingerprint"], 16)).bit_count() <= 3 for f in prints)
+        assert r["n_near"] == (near if i % 20 == 0 else None)
+
+
 def test_fingerprint_rows(awkward, empty):
     assert len(doc_simhash.edited_fingerprints(awkward).collect()) == len(AWKWARD)
     one = awkward.where("doc_id = 4")
