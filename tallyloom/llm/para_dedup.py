@@ -182,16 +182,25 @@ def sized(ids: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame,
     ``shingle, id`` of rare shingles that two sets or more have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each shingle of a batch once: how many of its sets have it, and which, if they are few."""
         for batch in batches:
-            ids, found = batch.column("id").to_numpy(), [np.frombuffer(s.as_py(), dtype=np.int64) for s in batch.column("set")]
-            for at in range(0, len(ids), 1000):
-                part = found[at : at + 1000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 1000], list(map(len, part)))), pa.array(np.concatenate(part))], names=["id", "shingle"])
+            found = [np.frombuffer(s.as_py(), dtype=np.int64) for s in batch.column("set")]
+            if not found:
+                continue
+            flat, owners = np.concatenate(found), np.repeat(batch.column("id").to_numpy(), list(map(len, found)))
+            order = np.argsort(flat, kind="stable")
+            flat, owners = flat[order], owners[order]
+            starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+            counts = np.diff(np.append(starts, len(flat)))
+            few = counts <= RARE
+            offsets = np.concatenate([[0], np.cumsum(np.where(few, counts, 0))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(owners[np.repeat(few, counts)]))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[starts]), pa.array(counts), lists], names=["shingle", "n", "ids"])
 
     mine = ids.join(sets, "id").repartition("id")
-    every = scratch.keep(mine.mapInArrow(run, "id long, shingle long"), "shingles")
-    known = every.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
-    rare = scratch.keep(every.join(known, "shingle"), "rare")
+    every = scratch.keep(mine.mapInArrow(run, "shingle long, n long, ids array<long>"), "shingles")
+    known = every.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") <= RARE)
+    rare = scratch.keep(every.select("shingle", "ids").join(known, "shingle").select("shingle", F.explode("ids").alias("id"), "n"), "rare")
     counts = rare.groupBy("id").agg(F.count("*").alias("rare"))
     sizes = mine.select("id", (F.length("set") / 8).cast("long").alias("size")).join(counts, "id", "left").select("id", "size", F.coalesce("rare", F.lit(0)).alias("rare"))
     return scratch.keep(sizes, "sizes"), rare.where("n > 1").select("shingle", "id")
