@@ -114,6 +114,24 @@ def contexts(codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.stack([one % BUCKETS, BUCKETS + two % BUCKETS, 2 * BUCKETS + both % BUCKETS], axis=1)
 
 
+def run_sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``rows`` that begin at ``starts``.
+
+    Long runs are summed one by one; of the short ones all second rows are
+    added at once, then all third rows, and so on.
+    """
+    sizes = np.diff(np.append(starts, len(rows)))
+    out = rows[starts]
+    for i in np.flatnonzero(sizes > 64):
+        out[i] = rows[starts[i] : starts[i] + sizes[i]].sum(axis=0)
+    live, k = np.flatnonzero((sizes > 1) & (sizes <= 64)), 1
+    while len(live):
+        out[live] += rows[starts[live] + k]
+        k += 1
+        live = live[sizes[live] > k]
+    return out
+
+
 def class_logits(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log-probabilities of the classes, a row for each token."""
     z = weights[at[:, 0]]
@@ -170,7 +188,7 @@ class Learner:
             runs = bucket[order]
             starts = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
             rows = runs[starts].astype(np.int64) + k * BUCKETS
-            g = np.add.reduceat(slope[order], starts, axis=0)
+            g = run_sums(slope[order], starts)
             grown = self.grown[rows] + 1e3 * g * g
             self.grown[rows] = grown
             self.w[rows] -= RATE * 31.6 * g / np.sqrt(grown)

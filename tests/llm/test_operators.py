@@ -387,6 +387,12 @@ def test_class_probabilities_sum_to_one():
     assert (at[[0, 10, 11, 49], 0] == 0).all() and (at[1, 1] == maxent.BUCKETS) and (at[12, 1] == maxent.BUCKETS)
 
 
+def test_run_sums():
+    rng = np.random.default_rng(12)
+    rows, starts = rng.normal(size=(500, 3)), np.array([0, 1, 2, 5, 90, 91, 300, 499])
+    assert np.allclose(maxent.run_sums(rows, starts), np.add.reduceat(rows, starts, axis=0))
+
+
 def test_score_rows(awkward, empty):
     rows = maxent.score_texts(awkward).collect()
     assert len(rows) == len(AWKWARD) and all(np.isfinite(r["score"]) for r in rows)
