@@ -15,6 +15,7 @@ from tallyloom.llm.common import Stored, table
 from tallyloom.llm.near_simhash import simhash_groups
 from tallyloom.llm.packing import digest, pack_documents
 from tallyloom.llm.para_dedup import dedup_passages
+from tallyloom.llm.repeats import RUN_WORDS
 from tallyloom.llm.pii import find_pii, redacted
 from tallyloom.llm.toxicity import score_toxicity
 
@@ -37,7 +38,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier one has; those of which nothing is left go."""
-    out = dedup_passages(docs.select(*COLUMNS))
+    out = dedup_passages(docs.select(*COLUMNS), run_words=RUN_WORDS)
     cut = F.coalesce(F.size("cuts") > 0, F.lit(False))
     out = out.where(~(cut & (F.trim("text") == "")))
     return out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)

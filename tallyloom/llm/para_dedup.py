@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, Stored, components, documents, small_batches, worker_cache
+from .repeats import RUN_WORDS, cut_column, repeated_runs, word_hashes
 
 #: Words of a shingle, least similarity, and least words of a paragraph that may be removed.
 WIDTH, THRESHOLD, MIN_WORDS = 5, 0.8, 40
@@ -26,12 +27,6 @@ _ODD = (np.random.default_rng(20_240_229).integers(1, 1 << 63, size=(BANDS * ROW
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hashes(paragraph: bytes) -> np.ndarray:
-    """64-bit hashes of a paragraph's words, A-Z lower-cased, split at ASCII white space."""
-    words = paragraph.lower().split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-
-
 def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """Hashes of all runs of ``width`` words; of the whole, if it is shorter."""
     width = min(width, len(words))
@@ -305,21 +300,42 @@ def without(text: Column, cuts: Column) -> Column:
     return run(text, cuts)
 
 
-def dedup_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, paired: int = PAIRED) -> DataFrame:
+def dedup_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, paired: int = PAIRED, run_words: int | None = None) -> DataFrame:
     """``docs`` with near-duplicate paragraphs cut out of ``text`` except for the first of each component.
 
+    With ``run_words``, so are all runs of that many words or more, inside
+    lines or over several, that a document of a smaller id has word for word.
+
     All rows and columns stay; ``cuts``, ``n_shared`` and ``class_id`` come
     new and may not be there before.  Null texts stay null, empty tables empty;
     rows of one ``doc_id`` are one document; a null ``doc_id`` is never cut.
     """
-    found = by_document(shared_passages(docs, threshold, min_words, paired))
+    shared = shared_passages(docs, threshold, min_words, paired)
+    found = by_document(shared)
+    if run_words:
+        return _with_runs(docs, shared, found, run_words)
     out = docs.join(found, "doc_id", "left")
     return out.withColumn("text", F.when(F.size("cuts") > 0, without(F.col("text"), F.col("cuts"))).otherwise(F.col("text")))
 
 
+def _with_runs(docs: DataFrame, shared: DataFrame, found: DataFrame, run_words: int) -> DataFrame:
+    """``docs`` without what lines and repeated runs together cut; a row takes the runs of its own text."""
+    places = shared.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("places"))
+    runs = repeated_runs(docs, run_words)
+    every = found.drop("n_shared").join(places, "doc_id").join(runs, "doc_id", "full")
+    every = every.withColumn("class_id", F.least("class_id", F.array_min(F.transform("runs", lambda r: r["least"]))))
+    every = every.select("doc_id", F.struct("cuts", "places", "runs", "class_id").alias("found_"))
+    mine = F.filter("found_.runs", lambda r: r["tk"] == F.xxhash64("text"))
+    made = cut_column(F.col("doc_id"), F.col("text"), F.col("found_.cuts"), F.col("found_.places"), mine, run_words)
+    out = docs.join(every, "doc_id", "left").withColumn("made_", made)
+    added = {"cuts": F.col("made_.cuts"), "n_shared": F.col("made_.n_shared"), "class_id": F.col("found_.class_id")}
+    text = F.when(F.size("made_.cuts") > 0, F.col("made_.text")).otherwise(F.col("text"))
+    return out.withColumns({"text": text, **added}).drop("made_", "found_")
+
+
 def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: passages it shares, places cut, the documents that keep them, and the text left."""
-    out = dedup_passages(documents(spark, sf_dir))
+    out = dedup_passages(documents(spark, sf_dir), run_words=RUN_WORDS)
     spans = F.array_join(F.transform("cuts", lambda c: F.concat_ws(":", c["start"].cast("string"), c["end"].cast("string"))), ",")
     return out.select(
         "doc_id",
