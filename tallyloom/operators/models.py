@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 from itertools import product
 
@@ -19,6 +20,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import writers
 from . import agreement
 
 
@@ -106,32 +108,54 @@ def pipeline(model: str = "logistic_regression", text: str = "text", rbf: bool =
     return Pipeline(stages=[*stages, classifier(model, features="rbf" if rbf else "features", **params)])
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = f"{writers.shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def neighbours(train: DataFrame, test: DataFrame, k: int = 5, block: int = 64, train_limit: int = 20_000) -> DataFrame:
     """``document_id, prediction, probability`` by the k nearest of the training rows (cosine of unit vectors).
 
-    Training rows go out to all tasks in blocks; their number is bounded, and
-    over ``train_limit`` raises.  Ties go to the smaller document id.
+    Training rows meet all test rows in blocks of at most about ``train_limit``;
+    each block gives its k best for each test row, and the k best of those
+    vote.  Ties go to the smaller document id.
     """
-    rows = train.select("document_id", "label", vector_to_array("features").alias("v")).limit(train_limit + 1).toPandas().sort_values("document_id")
-    if len(rows) > train_limit:
-        raise ValueError(f"more than {train_limit} training rows")
-    x, y = np.stack(rows["v"].to_numpy()).astype(np.float32), rows["label"].to_numpy()
-    sent = train.sparkSession.sparkContext.broadcast((x, y))
-
-    def run(batches):
-        bx, by = sent.value
-        for b in batches:
-            out = []
-            for at in range(0, len(b), block):
-                part = b.iloc[at : at + block]
-                s = np.stack(part["v"].to_numpy()).astype(np.float32) @ bx.T
-                near = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                for i, n in zip(part["document_id"], near, strict=True):
-                    values, counts = np.unique(by[n], return_counts=True)
-                    out.append((i, float(values[counts.argmax()]), counts.max() / len(n)))
-            yield pd.DataFrame(out, columns=["document_id", "prediction", "probability"])
-
-    return test.select("document_id", vector_to_array("features").alias("v")).mapInPandas(run, "document_id long, prediction double, probability double")
+    spark = train.sparkSession
+    rows = _stored(train.select("document_id", "label", vector_to_array("features").alias("v")), "neighbours")
+    asked = _stored(test.select("document_id", F.monotonically_increasing_id().alias("row"), vector_to_array("features").alias("v")), "neighbours")
+    blocks = -(-rows.count() // train_limit)
+    parts = rows.withColumn("block", F.pmod(F.xxhash64("document_id"), F.lit(max(1, blocks))))
+    found = None
+    for number in range(blocks):
+        mine = parts.where(F.col("block") == number).toPandas().sort_values("document_id")
+        if not len(mine):
+            continue
+        sent = spark.sparkContext.broadcast((np.stack(mine["v"].to_numpy()).astype(np.float32), mine["label"].to_numpy(dtype=np.float64), mine["document_id"].to_numpy()))
+
+        def run(batches, sent=sent):
+            bx, by, ids = sent.value
+            for b in batches:
+                out = []
+                for at in range(0, len(b), block):
+                    part = b.iloc[at : at + block]
+                    s = np.stack(part["v"].to_numpy()).astype(np.float32) @ bx.T
+                    near = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    for i, (doc, row) in enumerate(zip(part["document_id"], part["row"], strict=True)):
+                        out += [(doc, row, float(s[i, n]), int(ids[n]), float(by[n])) for n in near[i]]
+                yield pd.DataFrame(out, columns=["document_id", "row", "score", "near", "label"])
+
+        # Stored before the next block is collected, so that one block at a time is held.
+        best = _stored(asked.mapInPandas(run, "document_id long, row long, score float, near long, label double"), "neighbours")
+        sent.unpersist()
+        found = best if found is None else found.unionByName(best)
+    if found is None:
+        raise ValueError("no training rows")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "near")
+    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    votes = top.groupBy("document_id", "row", "label").agg(F.count("*").alias("n"))
+    first = F.max_by("label", F.struct("n", -F.col("label"))).alias("prediction")
+    return votes.groupBy("document_id", "row").agg(first, (F.max("n") / F.sum("n")).alias("probability")).drop("row")
 
 
 def predicted(model: Transformer, df: DataFrame, keep: Sequence[str] = ("document_id",)) -> DataFrame:
