@@ -20,6 +20,8 @@ from .common import Stored, documents, small_batches
 BITS = 128
 #: A term's weight grows with its length: short words are the ones most texts share.
 FULL_LENGTH = 12
+#: Bits in which fingerprints of near copies (five-word shingles of Jaccard 0.8 or more) mostly differ at most.
+COPY_RADIUS = 11
 
 
 def weighted_simhash(text: str | None) -> bytes:
@@ -74,7 +76,10 @@ def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = 3)
     radius differ in at most ``radius`` of them and so agree in two: there is a
     table for each two blocks, keyed by both, and what meets in a table is
     verified.  All-zero fingerprints of empty texts are one fingerprint.
+    Beyond a radius of 5 these tables get too many, and :func:`_within_wide` takes over.
     """
+    if radius > 5:
+        return _within_wide(queries, fingerprints, radius)
     cut = blocks_of("fp", radius + 2)
     tables = F.array(*(F.concat(F.lit(f"{i}:{j}:"), cut[i], cut[j]) for i, j in combinations(range(radius + 2), 2)))
     keyed = lambda df, name: df.select("fp").where("fp is not null").distinct().select(F.explode(tables).alias("key"), F.col("fp").alias(name))
@@ -83,6 +88,25 @@ def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = 3)
     return met.groupBy(F.col("a").alias("fp"), F.col("b").alias("near")).agg(F.min("distance").alias("distance"))
 
 
+def _within_wide(queries: DataFrame, fingerprints: DataFrame, radius: int) -> DataFrame:
+    """:func:`within_radius` for wide radii: there are half as many blocks as bits may differ, so that one differs in
+    one bit at most; queries look up each block as it is and with each bit turned."""
+    cut = blocks_of("fp", radius // 2 + 1)
+    digits = BITS // 4
+    edges = [round(i * digits / len(cut)) for i in range(len(cut) + 1)]
+    values = [F.conv(c, 16, 10).cast("long") for c in cut]
+    distinct = lambda df: df.select("fp").where("fp is not null").distinct()
+    key = lambda i, value: F.struct(F.lit(i).alias("block"), value.alias("value"))
+    turned = []
+    for i, value in enumerate(values):
+        masks = [0] + [1 << k for k in range(4 * (edges[i + 1] - edges[i]))]
+        turned += [key(i, value.bitwiseXOR(F.lit(m).cast("long"))) for m in masks]
+    asked = distinct(queries).select(F.explode(F.array(*turned)).alias("key"), F.col("fp").alias("a"))
+    posted = distinct(fingerprints).select(F.explode(F.array(*(key(i, v) for i, v in enumerate(values)))).alias("key"), F.col("fp").alias("b"))
+    met = asked.join(posted, "key").where("a <> b").withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= radius)
+    return met.groupBy(F.col("a").alias("fp"), F.col("b").alias("near")).agg(F.min("distance").alias("distance"))
+
+
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -155,14 +179,16 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     return rows.where("edge is null").select(*_NAMES).unionByName(closed)
 
 
-def with_neighbours(fingerprinted: DataFrame, asked: Column, radius: int = 3) -> DataFrame:
-    """``fingerprinted`` with ``n_near``: for rows that are asked for, how many other fingerprints of all rows lie within ``radius``; null for the rest."""
+def with_neighbours(fingerprinted: DataFrame, asked: Column, radius: int = 3, copies: int = COPY_RADIUS) -> DataFrame:
+    """``fingerprinted`` with ``n_near`` and ``n_copies``: for rows that are asked for, how many other fingerprints of all rows lie within ``radius`` and within ``copies``; null for the rest."""
     asked = F.coalesce(asked, F.lit(False))
     queries, rest = fingerprinted.where(asked), fingerprinted.where(~asked)
     all_ = fingerprinted.select(F.col("fingerprint").alias("fp"))
-    near = within_radius(queries.select(F.col("fingerprint").alias("fp")), all_, radius).groupBy(F.col("fp").alias("fingerprint")).agg(F.count("*").alias("n_near"))
-    found = queries.join(near, "fingerprint", "left").select(*fingerprinted.columns, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
-    return found.unionByName(rest.withColumn("n_near", F.lit(None).cast("long")))
+    near = within_radius(queries.select(F.col("fingerprint").alias("fp")), all_, max(radius, copies)).groupBy(F.col("fp").alias("fingerprint"))
+    within = {"n_near": radius, "n_copies": copies}
+    near = near.agg(*(F.count(F.when(F.col("distance") <= r, 1)).alias(name) for name, r in within.items()))
+    found = queries.join(near, "fingerprint", "left").select(*fingerprinted.columns, *(F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in within))
+    return found.unionByName(rest.withColumns({name: F.lit(None).cast("long") for name in within}))
 
 
 def op9_weighted_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
