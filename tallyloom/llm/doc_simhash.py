@@ -6,22 +6,24 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, documents, small_batches
+from .common import Scratch, Stored, documents, small_batches
 
 BITS = 128
 #: A term's weight grows with its length: short words are the ones most texts share.
 FULL_LENGTH = 12
 #: Bits in which fingerprints of near copies (five-word shingles of Jaccard 0.8 or more) mostly differ at most.
 COPY_RADIUS = 11
+#: Stored bytes of input for a range of ids, and the most ranges there are; fingerprints in a pack.
+RANGE_BYTES, MOST_RANGES, PACK = 16 << 20, 20_000, 1 << 14
 
 
 def weighted_simhash(text: str | None) -> bytes:
@@ -56,55 +58,131 @@ def fingerprint_column(text: str) -> Column:
     return run(F.col(text))
 
 
-def blocks_of(fp: str, count: int) -> list[Column]:
-    """A hex fingerprint cut into ``count`` runs of digits."""
+def blocks_of(fp: str, count: int) -> list[tuple[Column, int]]:
+    """A hex fingerprint cut into ``count`` runs of digits: the value of each and its bits."""
     digits = BITS // 4
     edges = [round(i * digits / count) for i in range(count + 1)]
-    return [F.substring(fp, a + 1, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [(F.conv(F.substring(fp, a + 1, b - a), 16, -10).cast("long"), 4 * (b - a)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def hamming(a: Column, b: Column) -> Column:
-    half = lambda c, i: F.conv(F.substring(c, 1 + 16 * i, 16), 16, -10).cast("long")
-    return sum((F.bit_count(half(a, i).bitwiseXOR(half(b, i))) for i in range(BITS // 64)), F.lit(0))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def _halves(fp: str) -> Column:
+    return F.struct(*(F.conv(F.substring(fp, 1 + 16 * i, 16), 16, -10).cast("long").alias(name) for i, name in enumerate(("hi", "lo"))))
+
+
+def _packed(rows: DataFrame, name: str, keys: tuple[str, ...] = ("block", "value")) -> DataFrame:
+    """Fingerprints of a key in packs of at most about ``PACK``, so that a hot key is many rows."""
+    packs = max(1, -(-rows.select("fp").distinct().count() // PACK))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(packs)))
+    return salted.groupBy(*keys, "salt").agg(F.collect_list("fp").alias(name)).drop("salt")
+
+
+def _meet(queries: DataFrame, fingerprints: DataFrame, radius: int, scratch: Scratch) -> tuple[DataFrame, list[int]]:
+    """Packs of queries and of fingerprints under each key of a block table: ``block, value, asked, posted``.
+
+    There are half as many blocks as bits may differ, so of two fingerprints
+    within the radius one block at least differs in one bit at most.  Each
+    block has its table; queries look it up as it is and with each bit turned.
+    """
+    cut = blocks_of("hex", radius // 2 + 1)
+    key = lambda i, value: F.struct(F.lit(i).alias("block"), value.alias("value"))
+    distinct = lambda df: df.select(F.col("fp").alias("hex")).where("fp is not null").distinct()
+    turned = [key(i, value.bitwiseXOR(F.lit(_signed(m)).cast("long"))) for i, (value, bits) in enumerate(cut) for m in [0, *(1 << k for k in range(bits))]]
+    asked = scratch.keep(distinct(queries).select(_halves("hex").alias("fp"), F.explode(F.array(*turned)).alias("k")).select("fp", "k.*"), "asked")
+    posted = distinct(fingerprints).select(_halves("hex").alias("fp"), F.explode(F.array(*(key(i, v) for i, (v, _) in enumerate(cut)))).alias("k")).select("fp", "k.*")
+    posted = scratch.keep(posted.join(asked.select("block", "value").distinct(), ["block", "value"], "left_semi"), "posted")
+    met = _packed(asked, "asked").join(_packed(posted, "posted"), ["block", "value"])
+    return met, [bits for _, bits in cut]
+
+
+def _pairs(batch: pa.RecordBatch, widths: list[int], radius: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(asked, near, distance)`` of the pairs of a batch of packs, each pair in the first block that differs in one bit
+    at most and nowhere else; fingerprints are rows of two unsigned words."""
+    lists = [batch.column(batch.schema.get_field_index(name)) for name in ("asked", "posted")]
+    flat = [np.stack([x.flatten().field(h).to_numpy().view(np.uint64) for h in ("hi", "lo")], axis=1) for x in lists]
+    sizes = [np.diff(x.offsets.to_numpy()).astype(np.int64) for x in lists]
+    starts = [np.cumsum(n) - n for n in sizes]
+    shifts = BITS - np.cumsum(widths)
+
+    def compare(left: np.ndarray, right: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, ...]:
+        a, b = flat[0][left], flat[1][right]
+        diff = a ^ b
+        distance = np.bitwise_count(diff).sum(axis=1)
+        near = np.flatnonzero((distance <= radius) & (distance > 0))
+        diff, block = diff[near], block[near]
+        open_ = np.ones(len(near), dtype=bool)
+        first = np.zeros(len(near), dtype=bool)
+        for i, (width, shift) in enumerate(zip(widths, shifts, strict=True)):
+            mask = ((1 << width) - 1) << int(shift)
+            part = diff & np.array([mask >> 64, mask & (2**64 - 1)], dtype=np.uint64)
+            close = np.bitwise_count(part).sum(axis=1) <= 1
+            first |= open_ & close & (block == i)
+            open_ &= ~close
+        kept = near[first]
+        return a[kept], b[kept], distance[kept].astype(np.int64)
+
+    blocks = batch.column(batch.schema.get_field_index("block")).to_numpy()
+    pairs = sizes[0] * sizes[1]
+    for part in np.array_split(np.arange(len(pairs)), max(1, int(np.ceil(len(pairs) / 4096)))):
+        small = part[pairs[part] <= 4096]
+        n = pairs[small]
+        off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(sizes[1][small], n)
+        for at in range(0, max(1, len(off)), 1 << 18):
+            o, w = off[at : at + (1 << 18)], wide[at : at + (1 << 18)]
+            row = np.repeat(small, n)[at : at + (1 << 18)]
+            yield compare(starts[0][row] + o // np.maximum(w, 1), starts[1][row] + o % np.maximum(w, 1), blocks[row])
+        for row in part[pairs[part] > 4096]:
+            right = starts[1][row] + np.arange(sizes[1][row])
+            step = max(1, (1 << 18) // len(right))
+            for left in range(0, sizes[0][row], step):
+                own = starts[0][row] + np.arange(left, min(left + step, sizes[0][row]))
+                yield compare(np.repeat(own, len(right)), np.tile(right, len(own)), np.full(len(own) * len(right), blocks[row]))
+
+
+def _hex(halves: np.ndarray) -> list[str]:
+    return [row.tobytes().hex() for row in halves.astype(">u8")]
 
 
 def within_radius(queries: DataFrame, fingerprints: DataFrame, radius: int = 3) -> DataFrame:
-    """Pairs ``fp, near, distance`` of distinct fingerprints at most ``radius`` bits apart.
+    """Pairs ``fp, near, distance`` of distinct fingerprints at most ``radius`` bits apart, exactly.
 
     Both frames have ``fp`` hex strings; equal ones count once, so copies make
-    no pairs.  Fingerprints are cut into ``radius + 2`` blocks; two within the
-    radius differ in at most ``radius`` of them and so agree in two: there is a
-    table for each two blocks, keyed by both, and what meets in a table is
-    verified.  All-zero fingerprints of empty texts are one fingerprint.
-    Beyond a radius of 5 these tables get too many, and :func:`_within_wide` takes over.
+    no pairs; nulls take no part.  Block tables find what may be near, see
+    :func:`_meet`.  All-zero fingerprints of empty texts are one fingerprint.
     """
-    if radius > 5:
-        return _within_wide(queries, fingerprints, radius)
-    cut = blocks_of("fp", radius + 2)
-    tables = F.array(*(F.concat(F.lit(f"{i}:{j}:"), cut[i], cut[j]) for i, j in combinations(range(radius + 2), 2)))
-    keyed = lambda df, name: df.select("fp").where("fp is not null").distinct().select(F.explode(tables).alias("key"), F.col("fp").alias(name))
-    met = keyed(queries, "a").join(keyed(fingerprints, "b"), "key").where("a <> b")
-    met = met.withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= radius)
-    return met.groupBy(F.col("a").alias("fp"), F.col("b").alias("near")).agg(F.min("distance").alias("distance"))
-
-
-def _within_wide(queries: DataFrame, fingerprints: DataFrame, radius: int) -> DataFrame:
-    """:func:`within_radius` for wide radii: there are half as many blocks as bits may differ, so that one differs in
-    one bit at most; queries look up each block as it is and with each bit turned."""
-    cut = blocks_of("fp", radius // 2 + 1)
-    digits = BITS // 4
-    edges = [round(i * digits / len(cut)) for i in range(len(cut) + 1)]
-    values = [F.conv(c, 16, 10).cast("long") for c in cut]
-    distinct = lambda df: df.select("fp").where("fp is not null").distinct()
-    key = lambda i, value: F.struct(F.lit(i).alias("block"), value.alias("value"))
-    turned = []
-    for i, value in enumerate(values):
-        masks = [0] + [1 << k for k in range(4 * (edges[i + 1] - edges[i]))]
-        turned += [key(i, value.bitwiseXOR(F.lit(m).cast("long"))) for m in masks]
-    asked = distinct(queries).select(F.explode(F.array(*turned)).alias("key"), F.col("fp").alias("a"))
-    posted = distinct(fingerprints).select(F.explode(F.array(*(key(i, v) for i, v in enumerate(values)))).alias("key"), F.col("fp").alias("b"))
-    met = asked.join(posted, "key").where("a <> b").withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= radius)
-    return met.groupBy(F.col("a").alias("fp"), F.col("b").alias("near")).agg(F.min("distance").alias("distance"))
+    met, widths = _meet(queries, fingerprints, radius, Scratch())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, near, distance in _pairs(batch, widths, radius):
+                yield pa.RecordBatch.from_arrays([pa.array(_hex(asked), pa.string()), pa.array(_hex(near), pa.string()), pa.array(distance)], names=["fp", "near", "distance"])
+
+    return small_batches(met).mapInArrow(run, "fp string, near string, distance long")
+
+
+def count_within(queries: DataFrame, fingerprints: DataFrame, radii: dict[str, int]) -> Stored:
+    """For each distinct query fingerprint with any, how many other fingerprints lie within each of the radii: ``fp`` and
+    a count by the radius's name.  Pairs are counted where they meet and never become rows."""
+    scratch = Scratch()
+    most = max(radii.values())
+    met, widths = _meet(queries, fingerprints, most, scratch)
+    names = ["fp", *radii]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, _, distance in _pairs(batch, widths, most):
+                own, at = np.unique(asked, axis=0, return_inverse=True)
+                counts = [np.bincount(at.reshape(-1), weights=distance <= r, minlength=len(own)).astype(np.int64) for r in radii.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(_hex(own), pa.string()), *map(pa.array, counts)], names=names)
+
+    counted = small_batches(met).mapInArrow(run, "fp string, " + ", ".join(f"{name} long" for name in radii))
+    out = Stored(counted.groupBy("fp").agg(*(F.sum(name).alias(name) for name in radii)), "near")
+    scratch.clear()
+    return out
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -123,72 +201,102 @@ def _row(doc_id, text: str, mine: bytes, following: str, theirs: bytes) -> tuple
 
 
 _NAMES = RESULT.replace(" long", "").replace(" string", "").replace(" double", "").split(", ")
+_STEP = pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[c.split()[1]]) for c in RESULT.split(", ")] + [("range", pa.int32()), ("edge", pa.string()), ("text", pa.binary())])
+
+
+def _frame(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(_STEP)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _STEP, strict=True)], schema=_STEP)
+
+
+def ranges_of(docs: DataFrame) -> list[int]:
+    """Ids that cut ``docs`` into ranges of about ``RANGE_BYTES`` of stored input, or as many as a shuffle has partitions."""
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = min(max(size // RANGE_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_RANGES)
+    share = [k / n for k in range(1, n)]
+    got = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), share or [0.5], 20 * n).alias("at")).first()["at"]
+    return sorted(set(got or []))
+
+
+READ = "range int, doc_id long, text binary, fp binary"
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, with likenesses (``RESULT``).
 
     The next document is that of the next smaller ``doc_id``, after the last
-    one the first; equal ids go by text, null ids come last, null texts count as empty.
-    Documents are dealt by ranges of ``doc_id`` once and read in order; the
-    last row of a range meets the first of the next in a second, small step,
-    of as many rows as there are ranges.  An empty table gives no rows.
+    one the first; rows of one id go by their fingerprint, null ids come last,
+    null texts count as empty.  Texts are fingerprinted where they are read and
+    go through one exchange, compressed and dealt by ranges of ``doc_id``; a
+    task reads its range in order and holds one text at a time.  The last row
+    of a range meets the first of the next in a second, small step, of as many
+    rows as there are ranges.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    dealt = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(F.col("doc_id").desc())
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").desc(), "text")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, held = TaskContext.get().partitionId(), None
-        names = [*_NAMES, "part", "edge", "text"]
-
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "n_chars": "Int64"})
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bounds = np.array(ranges_of(docs), dtype=np.int64)
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch.column("text")]
+            ids = batch.column("doc_id")
+            # Larger ids come first, so ranges count down; null ids are the last range.
+            at = len(bounds) - np.searchsorted(bounds, ids.fill_null(0).to_numpy(), side="right")
+            at = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(bounds) + 1, at)
+            columns = [pa.array(at, pa.int32()), ids, pa.array([pack(t.encode()) for t in texts], pa.binary()), pa.array(list(map(weighted_simhash, texts)), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["range", "doc_id", "text", "fp"])
+
+    dealt = docs.mapInArrow(read, READ).repartition(len(bounds) + 2, "range").sortWithinPartitions("range", F.col("doc_id").desc_nulls_last(), "fp", "text")
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        said = lambda z: unpack(z).decode() if z is not None else ""
+        held: tuple | None = None
         blank = (None,) * (len(_NAMES) - 1)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
-                doc_id = None if doc_id is pd.NA else doc_id
-                mine = weighted_simhash(text)
-                if held is None:
-                    out.append((doc_id, *blank, part, "first", text))
+            for at, doc_id, z, fp in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                text = said(z)
+                if held is not None and held[0] == at:
+                    out.append((*_row(*held[1:4], text, fp), at, None, None))
                 else:
-                    out.append((*_row(*held, text, mine), part, None, None))
-                held = (doc_id, text, mine)
-            yield frame(out)
+                    if held is not None:
+                        out.append((held[1], *blank, held[0], "last", held[4]))
+                    out.append((doc_id, *blank, at, "first", z))
+                held = (at, doc_id, text, fp, z)
+            yield _frame(out)
         if held is not None:
-            yield frame([(held[0], *blank, part, "last", held[1])])
+            yield _frame([(held[1], *blank, held[0], "last", held[4])])
 
-    rows = Stored(dealt.mapInPandas(run, RESULT + ", part int, edge string, text string"), "fingerprints").df
-    edges = rows.where("edge is not null").select("doc_id", "part", "edge", "text")
-    parts = sorted(r["part"] for r in edges.where("edge = 'first'").select("part").collect())
-    follows = dict(zip(parts, parts[1:] + parts[:1], strict=True))
-    step = F.create_map(*(F.lit(x) for kv in follows.items() for x in kv)) if follows else F.create_map(F.lit(0), F.lit(0))
-    lasts = edges.where("edge = 'last'").select("doc_id", "text", step[F.col("part")].alias("part"))
-    firsts = edges.where("edge = 'first'").select("part", F.col("text").alias("following"))
+    rows = Stored(dealt.mapInArrow(follow, f"{RESULT}, range int, edge string, text binary"), "fingerprints").df
+    edges = rows.where("edge is not null").select("doc_id", "range", "edge", "text")
+    order = sorted(r["range"] for r in edges.where("edge = 'first'").select("range").collect())
+    steps = spark.createDataFrame(list(zip(order, order[1:] + order[:1], strict=True)), "range int, next int")
+    firsts = edges.where("edge = 'first'").select(F.col("range").alias("next"), F.col("text").alias("following"))
+    closed = edges.where("edge = 'last'").select("doc_id", "range", "text").join(steps, "range").join(firsts, "next").select("doc_id", "text", "following")
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for doc_id, text, following in zip(batch["doc_id"].astype("Int64"), batch["text"], batch["following"], strict=True):
-                out.append(_row(None if doc_id is pd.NA else doc_id, text, weighted_simhash(text), following, weighted_simhash(following)))
-            yield pd.DataFrame(out, columns=_NAMES).astype({"doc_id": "Int64"})
+            for doc_id, *z in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                text, following = (unpack(x).decode() for x in z)
+                out.append((*_row(doc_id, text, weighted_simhash(text), following, weighted_simhash(following)), None, None, None))
+            yield _frame(out).select(_NAMES)
 
-    closed = lasts.join(firsts, "part").select("doc_id", "text", "following").mapInPandas(finish, RESULT)
-    return rows.where("edge is null").select(*_NAMES).unionByName(closed)
+    return rows.where("edge is null").select(*_NAMES).unionByName(closed.mapInArrow(close, RESULT))
 
 
 def with_neighbours(fingerprinted: DataFrame, asked: Column, radius: int = 3, copies: int = COPY_RADIUS) -> DataFrame:
     """``fingerprinted`` with ``n_near`` and ``n_copies``: for rows that are asked for, how many other fingerprints of all rows lie within ``radius`` and within ``copies``; null for the rest."""
     asked = F.coalesce(asked, F.lit(False))
-    queries, rest = fingerprinted.where(asked), fingerprinted.where(~asked)
-    all_ = fingerprinted.select(F.col("fingerprint").alias("fp"))
-    near = within_radius(queries.select(F.col("fingerprint").alias("fp")), all_, max(radius, copies)).groupBy(F.col("fp").alias("fingerprint"))
+    prints = lambda df: df.select(F.col("fingerprint").alias("fp"))
     within = {"n_near": radius, "n_copies": copies}
-    near = near.agg(*(F.count(F.when(F.col("distance") <= r, 1)).alias(name) for name, r in within.items()))
-    found = queries.join(near, "fingerprint", "left").select(*fingerprinted.columns, *(F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in within))
-    return found.unionByName(rest.withColumns({name: F.lit(None).cast("long") for name in within}))
+    near = count_within(prints(fingerprinted.where(asked)), prints(fingerprinted), within).df.withColumnRenamed("fp", "fingerprint")
+    found = fingerprinted.where(asked).join(near, "fingerprint", "left").select(*fingerprinted.columns, *(F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in within))
+    return found.unionByName(fingerprinted.where(~asked).withColumns({name: F.lit(None).cast("long") for name in within}))
 
 
 def op9_weighted_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
