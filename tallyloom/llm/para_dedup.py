@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, Stored, components, documents, small_batches, worker_cache
-from .repeats import RUN_WORDS, cut_column, repeated_runs, word_hashes
+from .repeats import RUN_WORDS, Runs, anchors, cut_column, runs_of, stretches
 
 #: Words of a shingle, least similarity, and least words of a paragraph that may be removed.
 WIDTH, THRESHOLD, MIN_WORDS = 5, 0.8, 40
@@ -56,52 +56,147 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return keys.view(np.int64)
 
 
-FOUND = pa.schema(
-    [("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("said", pa.string())]
-    + [(f"b{k}", pa.int64()) for k in range(BANDS)]
-)
-FOUND_DDL = "doc_id long, start long, end long, hi long, lo long, said string, " + ", ".join(f"b{k} long" for k in range(BANDS))
+READ = "kind int, doc_id long, tk long, start int, end int, x long, y long, " + ", ".join(f"b{k} long" for k in range(BANDS))
+FETCHED = "kind int, id long, set binary, off int, w long, least long, most long"
+#: Kinds of rows of the two passes over texts.
+PARAGRAPHS, RUNS = 0, 1
 
 
-def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Lines of ``min_words`` words or more: places in code points, a 128-bit key of their words, band keys, text."""
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+def _batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
+    """A batch of the given columns; the others are null."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _words(line: str) -> list[bytes]:
+    return line.encode().lower().split()
+
+
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def _paragraphs(lines: list[str], counts: list[int], min_words: int) -> Iterator[tuple[int, int, int, int]]:
+    """``start, end`` in code points and in words of each paragraph of ``min_words`` words or more: lines of so many, and
+    rows of shorter lines up to a blank or a long one."""
+    at = word = 0
+    short: list[tuple[int, int, int, int]] = []
+    for line, n in zip([*lines, ""], [*counts, 0], strict=True):
+        if 0 < n < min_words:
+            short.append((at, at + len(line), word, word + n))
+        else:
+            if len(short) > 1 and short[-1][3] - short[0][2] >= min_words:
+                yield short[0][0], short[-1][1], short[0][2], short[-1][3]
+            short = []
+            if n:
+                yield at, at + len(line), word, word + n
+        at += len(line) + 1
+        word += n
+
+
+def read_texts(docs: DataFrame, min_words: int | None, run_words: int | None) -> DataFrame:
+    """One pass over ``docs(doc_id, text)``: rows of paragraphs and of stretches (``READ``).
+
+    A paragraph has its place in code points, a 128-bit key of its words and
+    its band keys; a stretch (see :func:`repeats.anchors`) its first window,
+    its number of windows, the hash of its gram and that of all its words.
+    ``tk`` is a hash of the text, so that rows of one id stay apart.
+    """
+    schema = _schema(READ)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("passages")
         rows: list[tuple] = []
         sets: list[np.ndarray] = []
+        runs: list[tuple] = []
         size = 0
 
-        def frame() -> pa.RecordBatch:
-            doc, start, end, said, digests = zip(*rows, strict=True)
-            keys = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-            bands = signatures(sets)
-            columns = [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(np.ascontiguousarray(keys[:, 0])), pa.array(np.ascontiguousarray(keys[:, 1])), pa.array(said)]
-            return pa.RecordBatch.from_arrays(columns + [pa.array(np.ascontiguousarray(bands[:, k])) for k in range(BANDS)], schema=FOUND)
+        def frames() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if rows:
+                doc, tk, start, end, digests = zip(*rows, strict=True)
+                keys = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+                bands = signatures(sets)
+                yield _batch(schema, {"kind": np.full(len(rows), PARAGRAPHS), "doc_id": doc, "tk": tk, "start": start, "end": end, "x": np.ascontiguousarray(keys[:, 0]), "y": np.ascontiguousarray(keys[:, 1])} | {f"b{k}": np.ascontiguousarray(bands[:, k]) for k in range(BANDS)})
+            if runs:
+                names = ("doc_id", "tk", "start", "end", "x", "y")
+                found = {name: np.concatenate(x) for name, x in zip(names, zip(*runs, strict=True), strict=True)}
+                yield _batch(schema, found | {"kind": np.full(len(found["x"]), RUNS)})
+            for held in (rows, sets, runs):
+                held.clear()
+            size = 0
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for doc_id, tk, text in zip(batch.column("doc_id").to_pylist(), batch.column("tk").to_pylist(), batch.column("text"), strict=True):
                 text = text.as_py()
-                if not text:
+                lines = text.split("\n")
+                split = list(map(_words, lines))
+                counts = list(map(len, split))
+                if sum(counts) < min(x for x in (min_words, run_words) if x):
                     continue
-                at = 0
-                for line in text.split("\n"):
-                    if len(line) >= 2 * min_words - 1:
-                        words = word_hashes(line.encode())
-                        if len(words) >= min_words:
-                            rows.append((doc_id, at, at + len(line), line, xxhash.xxh3_128_digest(words.tobytes())))
-                            sets.append(shingles(words))
-                            size += len(words)
-                            if size > 200_000:
-                                yield frame()
-                                rows.clear()
-                                sets.clear()
-                                size = 0
-                    at += len(line) + 1
-        if rows:
-            yield frame()
-
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND_DDL)
+                words = _hashed([w for line in split for w in line])
+                size += len(words)
+                for start, end, first, last in _paragraphs(lines, counts, min_words) if min_words else ():
+                    rows.append((doc_id, tk, start, end, xxhash.xxh3_128_digest(words[first:last].tobytes())))
+                    sets.append(shingles(words[first:last]))
+                if run_words and len(words) >= run_words:
+                    lo, n, h, c = anchors(words, run_words)
+                    runs.append((np.full(len(lo), doc_id), np.full(len(lo), tk), lo, n, h, c))
+                if size > 200_000:
+                    yield from frames()
+        yield from frames()
+
+    return _texts(docs).mapInArrow(run, READ)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tk"))
+    return texts.where("doc_id is not null and text is not null")
+
+
+def fetch(docs: DataFrame, asks: DataFrame, run_words: int) -> DataFrame:
+    """A second pass, over the texts that ``asks(doc_id, tk, kind, start, end, id, least, most)`` name: the sorted shingle
+    hashes of paragraphs, and the hash of each window of stretches (``FETCHED``).  One exchange of texts serves both."""
+    schema = _schema(FETCHED)
+    wanted = asks.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("kind", "start", "end", "id", "least", "most")).alias("asked"))
+    holders = _texts(docs).join(wanted, ["doc_id", "tk"]).dropDuplicates(["doc_id", "tk"]).select("text", "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sets, rows, size = [], [], [], 0
+            for text, asked in zip(batch.column("text"), batch.column("asked"), strict=True):
+                text, flat = text.as_py(), asked.values
+                kind, start, end, key, least, most = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("kind", "start", "end", "id", "least", "most"))
+                for a, b, i in zip(start[kind == PARAGRAPHS], end[kind == PARAGRAPHS], key[kind == PARAGRAPHS], strict=True):
+                    ids.append(i)
+                    sets.append(np.unique(shingles(_hashed(_words(text[a:b])))).tobytes())
+                    size += len(sets[-1]) // 64
+                at = kind == RUNS
+                if at.any():
+                    hashed, lo, n = Runs(_hashed(_words(text))), start[at], end[at].astype(np.int64)
+                    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    first = np.repeat(lo, n) + off
+                    rows.append((np.repeat(key[at], n), off, hashed(first, first + run_words), np.repeat(least[at], n).astype(np.int64), np.repeat(most[at], n).astype(np.int64)))
+                    size += len(off)
+                if size > 100_000:
+                    yield from _found(schema, ids, sets, rows)
+                    ids, sets, rows, size = [], [], [], 0
+            yield from _found(schema, ids, sets, rows)
+
+    return holders.mapInArrow(run, FETCHED)
+
+
+def _found(schema: pa.Schema, ids: list, sets: list, rows: list) -> Iterator[pa.RecordBatch]:
+    if ids:
+        yield _batch(schema, {"kind": np.full(len(ids), PARAGRAPHS), "id": ids, "set": sets})
+    if rows:
+        found = {name: np.concatenate(x) for name, x in zip(("id", "off", "w", "least", "most"), zip(*rows, strict=True), strict=True)}
+        yield _batch(schema, found | {"kind": np.full(len(found["w"]), RUNS)})
 
 
 def jaccard_column(a: str, b: str) -> Column:
@@ -119,14 +214,6 @@ def jaccard_column(a: str, b: str) -> Column:
     return run(F.col(a), F.col(b))
 
 
-def set_column(said: str) -> Column:
-    @F.pandas_udf("binary")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingles(word_hashes(t))).tobytes() for t in texts], dtype=object)
-
-    return run(F.col(said).cast("binary"))
-
-
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs(a, b, ...)`` with their similarity ``j``."""
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
@@ -134,7 +221,24 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").withColumn("j", jaccard_column("sa", "sb")).drop("sa", "sb")
 
 
-def links(distinct: DataFrame, found: DataFrame, threshold: float, paired: int, scratch: Scratch | None = None) -> DataFrame:
+def buckets(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of paragraphs: the distinct ones (``id, x, y, n, at, b0...``), the members of buckets that hold two or more of them
+    (``band, key, id, n, size, most``), and where to fetch each member's text."""
+    grouped = found.groupBy("x", "y").agg(
+        F.count("*").alias("n"), F.min(F.xxhash64("doc_id", "tk", "start")).alias("at"), *(F.max(f"b{k}").alias(f"b{k}") for k in range(BANDS))
+    )
+    distinct = scratch.keep(grouped.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    bands = F.array(*(F.struct(F.lit(k).cast("int").alias("band"), F.col(f"b{k}").alias("key")) for k in range(BANDS)))
+    posted = distinct.select("id", "n", F.explode(bands).alias("at")).select("at.band", "at.key", "id", "n")
+    # Stored, so that the join below is one of two exchanges and a hot bucket's rows can be split.
+    sizes = scratch.keep(posted.groupBy("band", "key").agg(F.count("*").alias("size"), F.max("n").alias("most")).where("size > 1"), "buckets")
+    met = scratch.keep(posted.join(sizes, ["band", "key"]), "members")
+    wanted = distinct.join(met.select("id").distinct(), "id", "left_semi").select("id", "x", "y", "at")
+    places = found.select("x", "y", F.xxhash64("doc_id", "tk", "start").alias("at"), "doc_id", "tk", "start", "end")
+    return distinct, met, places.join(wanted, ["x", "y", "at"]).dropDuplicates(["id"]).select("doc_id", "tk", "start", "end", "id")
+
+
+def links(met: DataFrame, sets: DataFrame, threshold: float, paired: int, scratch: Scratch) -> DataFrame:
     """Edges ``(a, b)`` between ids of distinct paragraphs that connect all colliding ones of ``threshold`` or more.
 
     Small buckets are compared pair by pair.  In a large one all members are
@@ -143,14 +247,6 @@ def links(distinct: DataFrame, found: DataFrame, threshold: float, paired: int,
     member whose distance from the commonest one differs by no more than the
     threshold allows, Jaccard distance being a metric.
     """
-    scratch = scratch or Scratch()
-    bands = F.array(*(F.struct(F.lit(k).cast("int").alias("band"), F.col(f"b{k}").alias("key")) for k in range(BANDS)))
-    posted = distinct.select("id", "n", F.explode(bands).alias("at")).select("at.band", "at.key", "id", "n")
-    sizes = posted.groupBy("band", "key").agg(F.count("*").alias("size"), F.max("n").alias("most")).where("size > 1")
-    met = scratch.keep(posted.join(sizes, ["band", "key"]), "buckets")
-    wanted = met.select("id").distinct().join(distinct.select("id", "hi", "lo", "at"), "id")
-    said = found.select("hi", "lo", F.xxhash64("doc_id", "start").alias("at"), "said")
-    sets = scratch.keep(said.join(wanted, ["hi", "lo", "at"]).select("id", set_column("said").alias("set")).dropDuplicates(["id"]), "sets")
     small = met.where(F.col("size") <= paired).select("band", "key", "id")
     pairs = (
         small.withColumnRenamed("id", "a").join(small.withColumnRenamed("id", "b"), ["band", "key"]).where("a < b").select("a", "b").distinct()
@@ -241,96 +337,104 @@ def possible(placed: DataFrame, threshold: float, sizes: DataFrame, postings: Da
     return met.union(apart)
 
 
-def shared_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, paired: int = PAIRED) -> DataFrame:
-    """Paragraphs that have near-duplicates: ``doc_id, start, end, component, kept_in, keep``.
+def _shared(found: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """Paragraphs of ``found`` that have near-duplicates, see :func:`shared_passages`."""
+    joined = components(edges)
+    classes = distinct.select("x", "y", "n", "id").join(joined.df.withColumnRenamed("node", "id"), "id", "left")
+    classes = classes.where("component is not null or n > 1").select("x", "y", F.coalesce("component", "id").alias("component"))
+    shared = Stored(found.select("doc_id", "tk", "start", "end", "x", "y").join(classes, ["x", "y"]).drop("x", "y"), "shared").df
+    joined.discard()
+    firsts = shared.groupBy("component").agg(F.min(F.struct("doc_id", "tk", "start")).alias("first"))
+    here = F.struct("doc_id", "tk", "start") == F.col("first")
+    return shared.join(firsts, "component").select("doc_id", "tk", "start", "end", "component", F.col("first.doc_id").alias("kept_in"), here.alias("keep"))
+
 
-    A component holds paragraphs connected by 5-word-shingle Jaccard of
-    ``threshold`` or more.  Its first paragraph by ``(doc_id, start)`` is kept
-    (``keep`` true, and of rows that repeat a document all); ``kept_in`` is
-    that document.  Null and short texts have no paragraphs.
+def shared_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, paired: int = PAIRED) -> DataFrame:
+    """Paragraphs that have near-duplicates: ``doc_id, tk, start, end, component, kept_in, keep``.
+
+    A paragraph is a line of ``min_words`` words or more, or shorter lines in a
+    row, up to a blank one, of so many together.  A component holds paragraphs
+    connected by 5-word-shingle Jaccard of ``threshold`` or more.  Its first one
+    by ``(doc_id, tk, start)`` is kept (``keep`` true, and of rows that repeat a
+    document all); ``kept_in`` is that document; ``tk`` is the hash of the text
+    that the place is in.  Null and short texts have no paragraphs.
     """
     scratch = Scratch()
-    found = scratch.keep(paragraphs(docs, min_words), "paragraphs").where("doc_id is not null")
-    grouped = found.groupBy("hi", "lo").agg(
-        F.count("*").alias("n"), F.min(F.xxhash64("doc_id", "start")).alias("at"), *(F.max(f"b{k}").alias(f"b{k}") for k in range(BANDS))
-    )
-    distinct = scratch.keep(grouped.withColumn("id", F.monotonically_increasing_id()), "distinct")
-    joined = components(links(distinct, found, threshold, paired, scratch))
-    classes = distinct.select("hi", "lo", "n", "id").join(joined.df.withColumnRenamed("node", "id"), "id", "left")
-    classes = classes.where("component is not null or n > 1").select("hi", "lo", F.coalesce("component", "id").alias("component"))
-    shared = Stored(found.select("doc_id", "start", "end", "hi", "lo").join(classes, ["hi", "lo"]).drop("hi", "lo"), "shared").df
+    found = scratch.keep(read_texts(docs, min_words, None), "read")
+    distinct, met, places = buckets(found, scratch)
+    fetched = scratch.keep(fetch(docs, _asks(places, None), RUN_WORDS), "fetched")
+    out = _shared(found, distinct, links(met, fetched.select("id", "set"), threshold, paired, scratch))
     scratch.clear()
-    joined.discard()
-    firsts = shared.groupBy("component").agg(F.min("doc_id").alias("kept_in"))
-    where = shared.join(firsts, "component")
-    starts = where.where("doc_id = kept_in").groupBy("component").agg(F.min("start").alias("first"), F.max("kept_in").alias("kept_in"))
-    out = shared.join(starts, "component")
-    return out.select("doc_id", "start", "end", "component", "kept_in", ((F.col("doc_id") == F.col("kept_in")) & (F.col("start") == F.col("first"))).alias("keep"))
+    return out
+
+
+def _asks(places: DataFrame | None, windows: DataFrame | None) -> DataFrame:
+    """What to fetch from texts, of paragraphs, of stretches or of both."""
+    names = ("doc_id", "tk", "kind", "start", "end", "id", "least", "most")
+    none = F.lit(0).cast("long")
+    parts = [places.withColumns({"kind": F.lit(PARAGRAPHS), "least": none, "most": none}).select(*names)] if places is not None else []
+    parts += [windows.withColumn("kind", F.lit(RUNS)).select(*names)] if windows is not None else []
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """Runs of ``run_words`` words or more that two or more documents have, see :func:`repeats.runs_of`."""
+    scratch = Scratch()
+    found = scratch.keep(read_texts(docs, None, run_words), "read")
+    placed, classes, several, windows = stretches(found, scratch)
+    fetched = scratch.keep(fetch(docs, _asks(None, windows), run_words), "fetched")
+    out = Stored(runs_of(placed, classes, several, fetched, scratch), "runs").df
+    scratch.clear()
+    return out
 
 
 def by_document(shared: DataFrame) -> DataFrame:
-    """One row for each document with shared passages; ``cuts`` are the places to remove, in order."""
+    """One row for each text with shared passages; ``cuts`` are the places to remove, in order."""
     cut = F.struct("start", "end", "kept_in")
-    return shared.groupBy("doc_id").agg(
+    return shared.groupBy("doc_id", "tk").agg(
         F.array_distinct(F.array_sort(F.collect_list(F.when(~F.col("keep"), cut)))).alias("cuts"),
-        F.countDistinct("start").alias("n_shared"),
+        F.collect_set(F.struct("start", "end")).alias("places"),
         F.min("kept_in").alias("class_id"),
     )
 
 
-def without(text: Column, cuts: Column) -> Column:
-    """A text without its cuts, each with the line break after it (or before it, at the end)."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, places: pd.Series) -> pd.Series:
-        out = []
-        for t, p in zip(texts, places, strict=True):
-            if t is None or p is None or not len(p):
-                out.append(t)
-                continue
-            kept, at = [], 0
-            for c in p:
-                kept.append(t[at : c["start"]])
-                at = min(len(t), c["end"] + 1)
-            kept.append(t[at:])
-            joined = "".join(kept)
-            out.append(joined[:-1] if p[-1]["end"] >= len(t) and joined.endswith("\n") else joined)
-        return pd.Series(out, dtype=object)
-
-    return run(text, cuts)
-
-
 def dedup_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, paired: int = PAIRED, run_words: int | None = None) -> DataFrame:
     """``docs`` with near-duplicate paragraphs cut out of ``text`` except for the first of each component.
 
     With ``run_words``, so are all runs of that many words or more, inside
     lines or over several, that a document of a smaller id has word for word.
 
-    All rows and columns stay; ``cuts``, ``n_shared`` and ``class_id`` come
-    new and may not be there before.  Null texts stay null, empty tables empty;
-    rows of one ``doc_id`` are one document; a null ``doc_id`` is never cut.
+    All rows and columns stay; ``cuts`` (places with the document that has them
+    first), ``n_shared`` and ``class_id`` (the smallest document that any of
+    them is in) come new and replace columns of these names.  Null texts stay
+    null, empty tables empty; rows of one ``doc_id`` with different texts are
+    looked at by themselves; a null ``doc_id`` is never cut.
     """
-    shared = shared_passages(docs, threshold, min_words, paired)
-    found = by_document(shared)
+    docs = docs.drop("cuts", "n_shared", "class_id")
+    scratch = Scratch()
+    found = scratch.keep(read_texts(docs, min_words, run_words), "read")
+    lines = found.where(F.col("kind") == PARAGRAPHS)
+    distinct, met, places = buckets(lines, scratch)
+    windows = None
+    if run_words:
+        placed, classes, several, windows = stretches(found.where(F.col("kind") == RUNS), scratch)
+    fetched = scratch.keep(fetch(docs, _asks(places, windows), run_words or RUN_WORDS), "fetched")
+    sets = fetched.where(F.col("kind") == PARAGRAPHS).select("id", "set")
+    every = by_document(_shared(lines, distinct, links(met, sets, threshold, paired, scratch)))
     if run_words:
-        return _with_runs(docs, shared, found, run_words)
-    out = docs.join(found, "doc_id", "left")
-    return out.withColumn("text", F.when(F.size("cuts") > 0, without(F.col("text"), F.col("cuts"))).otherwise(F.col("text")))
-
-
-def _with_runs(docs: DataFrame, shared: DataFrame, found: DataFrame, run_words: int) -> DataFrame:
-    """``docs`` without what lines and repeated runs together cut; a row takes the runs of its own text."""
-    places = shared.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("places"))
-    runs = repeated_runs(docs, run_words)
-    every = found.drop("n_shared").join(places, "doc_id").join(runs, "doc_id", "full")
-    every = every.withColumn("class_id", F.least("class_id", F.array_min(F.transform("runs", lambda r: r["least"]))))
-    every = every.select("doc_id", F.struct("cuts", "places", "runs", "class_id").alias("found_"))
-    mine = F.filter("found_.runs", lambda r: r["tk"] == F.xxhash64("text"))
-    made = cut_column(F.col("doc_id"), F.col("text"), F.col("found_.cuts"), F.col("found_.places"), mine, run_words)
-    out = docs.join(every, "doc_id", "left").withColumn("made_", made)
-    added = {"cuts": F.col("made_.cuts"), "n_shared": F.col("made_.n_shared"), "class_id": F.col("found_.class_id")}
-    text = F.when(F.size("made_.cuts") > 0, F.col("made_.text")).otherwise(F.col("text"))
-    return out.withColumns({"text": text, **added}).drop("made_", "found_")
+        runs = runs_of(placed, classes, several, fetched.where(F.col("kind") == RUNS), scratch)
+        every = every.join(runs, ["doc_id", "tk"], "full").withColumn("class_id", F.least("class_id", F.array_min(F.transform("runs", lambda r: r["least"]))))
+    else:
+        every = every.withColumn("runs", F.lit(None).cast("array<struct<lo:int,hi:int,least:long,most:long>>"))
+    every = Stored(every.select("doc_id", "tk", F.struct("cuts", "places", "runs", "class_id").alias("found_")), "passages").df
+    scratch.clear()
+    own, key = [F.col(f"own_.{c}") for c in docs.columns], [F.col("own_.doc_id").cast("long") == F.col("doc_id"), F.xxhash64("own_.text") == F.col("tk")]
+    out = docs.select(F.struct(*docs.columns).alias("own_")).join(every, key, "left")
+    made = cut_column(F.col("own_.doc_id"), F.col("own_.text"), F.col("found_.cuts"), F.col("found_.places"), F.col("found_.runs"), run_words or RUN_WORDS)
+    out = out.withColumn("made_", made)
+    text = F.when(F.size("made_.cuts") > 0, F.col("made_.text")).otherwise(F.col("own_.text")).alias("text")
+    own = [text if c == "text" else x for c, x in zip(docs.columns, own, strict=True)]
+    return out.select(*own, F.col("made_.cuts").alias("cuts"), F.col("made_.n_shared").alias("n_shared"), F.col("found_.class_id").alias("class_id"))
 
 
 def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, Stored, small_batches, worker_cache
+from .common import Scratch, worker_cache
 
 #: Words of the shortest run that counts as repeated, and of the grams one of which stands for it.
 RUN_WORDS, GRAM = 50, 10
@@ -30,12 +27,6 @@ def _powers(base: int, n: int) -> np.ndarray:
     return cache[base]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of a text's words, A-Z lower-cased, split at ASCII white space."""
-    words = text.lower().split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-
-
 class Runs:
     """Hashes of any run of the given words, from sums of their hashes times powers."""
 
@@ -87,88 +78,44 @@ def anchors(words: np.ndarray, run_words: int = RUN_WORDS) -> tuple[np.ndarray,
     return lo, hi - lo, grams[at[lo]], hashed(lo, hi - 1 + run_words)
 
 
-STRETCHES = "doc_id long, tk long, lo int, n int, h long, c long"
-WINDOWS = "c long, off int, w long, least long, most long"
-
-
-def _batch(columns: list, ddl: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32()}
-    fields = [f.split(" ") for f in ddl.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
+def stretches(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of stretches ``doc_id, tk, start, end, x, y`` (first window, number of windows, hash of the gram, hash of all
+    words): those whose gram two documents have; their classes of equal words; the grams with several classes; and the
+    windows to hash, those of one stretch of each such class."""
+    live = scratch.keep(found.groupBy("x").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("x"), "live")
+    placed = scratch.keep(found.select("doc_id", "tk", "start", "end", "x", "y").join(live, "x", "left_semi"), "anchored")
+    classes = placed.groupBy("y").agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("x").alias("x"), F.min("end").alias("n"), F.min(F.struct("doc_id", "tk", "start")).alias("at")
+    )
+    classes = scratch.keep(classes, "classes")
+    several = scratch.keep(classes.groupBy("x").agg(F.count("*").alias("k")).where("k > 1").select("x"), "several")
+    mixed = classes.join(several, "x", "left_semi")
+    return placed, classes, several, mixed.select("at.doc_id", "at.tk", "at.start", F.col("n").alias("end"), F.col("y").alias("id"), "least", "most")
 
 
-def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """Runs of ``run_words`` words or more that two or more documents have: ``doc_id, runs``.
+def runs_of(placed: DataFrame, classes: DataFrame, several: DataFrame, seen: DataFrame, scratch: Scratch) -> DataFrame:
+    """Runs of words that two or more documents have: ``doc_id, tk, runs``.
 
-    ``runs`` are structs ``tk, lo, hi, least, most``: in the row whose text has
-    hash ``tk``, each window of ``run_words`` words that starts at a word from
-    ``lo`` to ``hi`` is in other documents too, ``least`` and ``most`` being the
-    first and the last of all that have it.  Runs may overlap.
+    ``runs`` are structs ``lo, hi, least, most``: in the row of ``doc_id`` whose
+    text has hash ``tk``, each window of the given number of words that starts
+    at a word from ``lo`` to ``hi`` is in other documents too, ``least`` and
+    ``most`` being the first and the last of all that have it.  Runs may overlap.
 
     Each text is cut into stretches by the least gram of its windows.  Only
     stretches whose gram has other stretches too are looked at; stretches equal
     in all words are one, and where a gram has several, the windows of one of
-    each are hashed and meet.  So nothing is compared pair by pair.
+    each (``seen``) are hashed and meet.  So nothing is compared pair by pair.
     """
-    scratch = Scratch()
-    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tk")).where("doc_id is not null and text is not null")
-
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, size = [], 0
-            for doc, tk, text in zip(batch.column("doc_id").to_pylist(), batch.column("tk").to_pylist(), batch.column("text"), strict=True):
-                words = word_hashes(text.as_py().encode())
-                if len(words) < run_words:
-                    continue
-                lo, n, h, c = anchors(words, run_words)
-                rows.append((np.full(len(lo), doc), np.full(len(lo), tk), lo.astype(np.int32), n.astype(np.int32), h, c))
-                size += len(lo)
-                if size > 100_000:
-                    yield _batch([np.concatenate(x) for x in zip(*rows, strict=True)], STRETCHES)
-                    rows, size = [], 0
-            if rows:
-                yield _batch([np.concatenate(x) for x in zip(*rows, strict=True)], STRETCHES)
-
-    found = scratch.keep(texts.mapInArrow(stretches, STRETCHES), "stretches")
-    live = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-    placed = scratch.keep(found.join(live, "h", "left_semi"), "anchored")
-    classes = placed.groupBy("c").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("h").alias("h"), F.min("n").alias("n"), F.min(F.struct("doc_id", "tk", "lo")).alias("at")
-    )
-    classes = scratch.keep(classes, "classes")
-    several = classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    mixed = scratch.keep(classes.join(several, "h", "left_semi"), "mixed")
-    asked = mixed.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.tk").alias("tk")).agg(F.collect_list(F.struct(F.col("at.lo").alias("lo"), "n", "c", "least", "most")).alias("asked"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, size = [], 0
-            for text, wanted in zip(batch.column("text"), batch.column("asked"), strict=True):
-                hashed, flat = Runs(word_hashes(text.as_py().encode())), wanted.values
-                lo, n, c, least, most = (np.asarray(flat.field(k)) for k in ("lo", "n", "c", "least", "most"))
-                off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start = np.repeat(lo, n) + off
-                rows.append((np.repeat(c, n), off.astype(np.int32), hashed(start, start + run_words), np.repeat(least, n), np.repeat(most, n)))
-                size += len(off)
-                if size > 100_000:
-                    yield _batch([np.concatenate(x) for x in zip(*rows, strict=True)], WINDOWS)
-                    rows, size = [], 0
-            if rows:
-                yield _batch([np.concatenate(x) for x in zip(*rows, strict=True)], WINDOWS)
-
-    holders = texts.join(asked, ["doc_id", "tk"]).dropDuplicates(["doc_id", "tk"]).select("text", "asked")
-    seen = scratch.keep(holders.mapInArrow(windows, WINDOWS), "windows")
-    ends = seen.groupBy("w").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most")
-    fine = seen.select("c", "off", "w").join(ends, "w")
-    row = F.row_number().over(Window.partitionBy("c", "least", "most").orderBy("off"))
-    fine = fine.withColumn("island", F.col("off") - row).groupBy("c", "least", "most", "island").agg(F.min("off").alias("first"), F.max("off").alias("last")).drop("island")
-    whole = classes.join(several, "h", "left_anti").where("least < most").select("c", "least", "most", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
+    seen = seen.select(F.col("id").alias("y"), "off", "w", "least", "most")
+    ends = scratch.keep(seen.groupBy("w").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most"), "ends")
+    fine = seen.select("y", "off", "w").join(ends, "w")
+    row = F.row_number().over(Window.partitionBy("y", "least", "most").orderBy("off"))
+    fine = fine.withColumn("island", F.col("off") - row).groupBy("y", "least", "most", "island").agg(F.min("off").alias("first"), F.max("off").alias("last")).drop("island")
+    whole = classes.join(several, "x", "left_anti").where("least < most").select("y", "least", "most", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
     parts = scratch.keep(fine.unionByName(whole), "parts")
-    met = placed.select("doc_id", "tk", "lo", "c").join(parts, "c")
-    run = F.struct("tk", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last")).alias("hi"), "least", "most")
-    out = Stored(met.groupBy("doc_id").agg(F.collect_set(run).alias("runs")), "runs").df
-    scratch.clear()
-    return out
+    met = placed.select("doc_id", "tk", "start", "y").join(parts, "y")
+    run = F.struct((F.col("start") + F.col("first")).alias("lo"), (F.col("start") + F.col("last")).alias("hi"), "least", "most")
+    return met.groupBy("doc_id", "tk").agg(F.collect_set(run).alias("runs"))
 
 
 def without_places(pieces: list[tuple], places: list[tuple[int, int]], text: str) -> list[tuple]:

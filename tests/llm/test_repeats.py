@@ -46,7 +46,7 @@ def plain(rows):
 
 def test_runs_equal_brute_force(spark):
     rows = texts()
-    found = {r["doc_id"]: r["runs"] for r in repeats.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {r["doc_id"]: r["runs"] for r in para_dedup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, want in plain(rows).items():
         assert {j for r in found.get(i, []) if r["least"] < i for j in range(r["lo"], r["hi"] + RUN)} == want
     assert any(plain(rows).values()) and all(r["least"] < r["most"] for runs in found.values() for r in runs)
@@ -78,3 +78,37 @@ def test_first_documents_count_what_they_share(spark):
     rows = {r["doc_id"]: r for r in para_dedup.dedup_passages(df.withColumn("n", F.lit(1)), threshold=1.01, run_words=RUN).collect()}
     assert [rows[i]["n_shared"] for i in (1, 2, 3, 4)] == [1, 1, 1, None] and [rows[i]["class_id"] for i in (1, 2, 3, 4)] == [1, 1, 1, None]
     assert [rows[i]["text"] for i in (1, 2, 3, 4)] == [f"a b {said} c", "d\ne\nf", "g\nh", "none"]
+
+
+def test_passages_in_lines_of_any_length(spark):
+    """A passage alone on a line, inside longer lines and over short lines is one passage."""
+    said = [f"s{k}" for k in range(60)]
+    own = lambda i, n: [f"own{i}x{k}" for k in range(n)]
+    block = [" ".join(f"b{j}x{k}" for k in range(30)) for j in range(4)]
+    rows = [
+        (1, " ".join(said)), (2, " ".join(own(2, 40) + said + own(2, 30))), (3, " ".join(own(3, 9) + said + own(3, 80))),
+        (4, "\n".join(["one two", "", *block, "three"])), (5, "\n".join(["four", "", *block, "", "five six"])),
+    ]
+    out = {r["doc_id"]: r for r in para_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"), run_words=RUN).collect()}
+    assert [out[i]["text"].split() for i in (1, 2, 3)] == [said, own(2, 40) + own(2, 30), own(3, 9) + own(3, 80)]
+    assert out[4]["text"] == rows[3][1] and out[5]["text"].split() == ["four", "five", "six"]
+    assert all(out[i]["n_shared"] for i in range(1, 6))
+
+
+def test_near_copies_over_short_lines(spark):
+    """Short lines in a row are one paragraph, so an edited copy of them is found."""
+    lines = [[f"n{j}x{k}" for k in range(12)] for j in range(8)]
+    edited = [list(line) for line in lines]
+    edited[1][5] = edited[4][6] = "edited"
+    text = lambda ls: "\n".join(map(" ".join, ls))
+    rows = [(1, "Title\n\n" + text(lines)), (2, "Other\n\n" + text(edited) + "\n\nend")]
+    out = {r["doc_id"]: r for r in para_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"), run_words=RUN).collect()}
+    assert out[1]["text"] == rows[0][1] and out[2]["text"].split() == ["Other", "end"]
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """Each row is cut at its own places, whatever stands in other rows of its id; columns of the result's names are replaced."""
+    said, other = " ".join(f"s{k}" for k in range(60)), " ".join(f"t{k}" for k in range(160))
+    df = spark.createDataFrame([(1, said), (2, "a b\n" + said), (2, other), (2, other)], "doc_id long, text string").withColumn("cuts", F.lit(7))
+    out = para_dedup.dedup_passages(df, run_words=RUN)
+    assert sorted(r["text"] for r in out.collect()) == sorted([said, "a b", other, other]) and out.columns == ["doc_id", "text", "cuts", "n_shared", "class_id"]
