@@ -22,7 +22,8 @@ from .common import Scratch, documents, small_batches, table, worker_cache
 
 #: Bounds of what is fitted: labelled rows that the classifier learns from, and features that it keeps.
 LABELLED_ROWS, FEATURES = 40_000, 2_000
-KEPT_TOKENS = 150_000
+#: Tokens that a worker remembers, up to a length; longer ones are worked out each time.
+KEPT_TOKENS, KEPT_LENGTH = 100_000, 40
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t"}
@@ -36,9 +37,22 @@ SIZE = 28
 #: letter that was single, a sign put between.
 SWAPPED, ITSELF, STRETCHED, DROPPED, PUT = math.log(0.3), math.log(0.02), math.log(0.2), math.log(0.02), math.log(0.3)
 JOINED = math.log(0.05)
-CORE = re.compile(r"^[^\w@$!|+]*(.*?)[^\w@$]*$", re.DOTALL)
-SUSPECT = re.compile(r"[a-zß-ÿ].*[0-9@$!|+]|[0-9@$!|+].*[a-zß-ÿ]|([^\W\d_])\1\1|^(?:[^\W_][.\-_*]+){2,}[^\W_]$", re.DOTALL)
-LONGEST = 40
+LEAD = re.compile(r"[^\w@$!|+]*")
+LETTER, SIGN, TRIPLE = re.compile("[a-zß-ÿ]"), re.compile("[0-9@$!|+]"), re.compile(r"([^\W\d_])\1\1")
+SPACED = re.compile(r"(?:[^\W_][.\-_*]+){2,}[^\W_]")
+
+
+def core_of(token: str) -> str:
+    """A token without the marks around it, in time linear in its length."""
+    start, end = LEAD.match(token).end(), len(token)
+    while end > start and not (token[end - 1].isalnum() or token[end - 1] in "_@$"):
+        end -= 1
+    return token[start:end]
+
+
+def suspect(core: str) -> bool:
+    """Whether a token may be obfuscated: letters and signs mixed, a letter three times in a row, or letters set apart."""
+    return bool((LETTER.search(core) and SIGN.search(core)) or TRIPLE.search(core) or SPACED.fullmatch(core))
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:
@@ -127,11 +141,11 @@ class Restorer:
         return out
 
     def decode(self, token: str) -> str:
-        """The likeliest reading of a token, by Viterbi over the last two symbols."""
-        best = {(EDGE, EDGE): (0.0, "")}
+        """The likeliest reading of a token of any length, by Viterbi over the last two symbols; of equal ones the first met."""
+        best: dict = {(EDGE, EDGE): (0.0, None)}
         for arcs in self.lattice(token):
             then: dict = {}
-            for (a, b), (score, said) in best.items():
+            for (a, b), (score, path) in best.items():
                 for letters, cost in arcs:
                     x, y, total = a, b, score + cost
                     for c in letters:
@@ -140,22 +154,24 @@ class Restorer:
                         x, y = y, s
                     old = then.get((x, y))
                     if old is None or total > old[0]:
-                        then[x, y] = (total, said + letters)
+                        then[x, y] = (total, (path, letters))
             best = then
-        return max((score + self.model[a][b][EDGE], said) for (a, b), (score, said) in best.items())[1]
+        path = max(((score + self.model[a][b][EDGE], k, path) for k, ((a, b), (score, path)) in enumerate(best.items())), key=lambda x: x[:2])[2]
+        out = []
+        while path is not None:
+            path, letters = path
+            out.append(letters)
+        return "".join(reversed(out))
 
     def token(self, token: str) -> str:
         known = self.kept.get(token)
         if known is None:
-            known = token
-            core = CORE.match(token)[1]
-            if core and len(core) <= LONGEST and SUSPECT.search(core):
-                known = self.decode(core)
-            else:
-                known = core or token
-            if len(self.kept) >= KEPT_TOKENS:
-                self.kept.clear()
-            self.kept[token] = known
+            core = core_of(token)
+            known = self.decode(core) if core and suspect(core) else core or token
+            if len(token) <= KEPT_LENGTH:
+                if len(self.kept) >= KEPT_TOKENS:
+                    self.kept.clear()
+                self.kept[token] = known
         return known
 
     def text(self, text: str) -> str:
@@ -188,18 +204,26 @@ def _single(t: str) -> bool:
     return len(t) == 1
 
 
-def restored(text: str, model: np.ndarray) -> Column:
+class Channel:
+    """A character model as bytes that go to workers, each of which keeps one :class:`Restorer` of it."""
+
+    def __init__(self, model: np.ndarray):
+        self.packed = model.astype(np.float32).tobytes()
+        self.name = xxhash.xxh3_64_intdigest(self.packed)
+
+    def restorer(self) -> Restorer:
+        kept = worker_cache("toxicity")
+        if kept.get("channel") != self.name:
+            kept["channel"], kept["restorer"] = self.name, Restorer(np.frombuffer(self.packed, dtype=np.float32).reshape(SIZE, SIZE, SIZE).astype(float))
+        return kept["restorer"]
+
+
+def restored(text: str, channel: Channel) -> Column:
     """The restored text of a column (null: empty)."""
-    packed = model.astype(np.float32).tobytes()
-    name = xxhash.xxh3_64_intdigest(packed)
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        kept = worker_cache("toxicity")
-        r = kept.get(name)
-        if r is None:
-            kept.clear()
-            r = kept[name] = Restorer(np.frombuffer(packed, dtype=np.float32).reshape(SIZE, SIZE, SIZE).astype(float))
+        r = channel.restorer()
         return pd.Series(["" if t is None else r.text(t) for t in texts], dtype=object)
 
     return run(F.col(text))
@@ -260,14 +284,13 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, size: int, start: np.nda
     return w
 
 
-def scored(said: str, weights: dict[int, float], bias: float) -> Column:
-    """Probability that a restored text is toxic."""
-
+def restored_and_scored(text: str, channel: Channel, weights: dict[int, float], bias: float) -> Column:
+    """``said``, the restored text, and ``score``, the probability that it is toxic, in one step."""
     name = hash(tuple(sorted(weights.items())))
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        kept = worker_cache("toxicity")
+    @F.pandas_udf("said string, score double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        r, kept = channel.restorer(), worker_cache("toxicity")
         if kept.get("weights") != name:
             kept["weights"], kept["live"] = name, {}
         known: dict[str, tuple] = kept["live"]
@@ -276,18 +299,20 @@ def scored(said: str, weights: dict[int, float], bias: float) -> Column:
             found = known.get(word)
             if found is None:
                 found = tuple(f for f in features_of(word) if f in weights)
-                if len(known) >= KEPT_TOKENS:
-                    known.clear()
-                known[word] = found
+                if len(word) <= KEPT_LENGTH:
+                    if len(known) >= KEPT_TOKENS:
+                        known.clear()
+                    known[word] = found
             return found
 
-        out = []
+        said, out = [], []
         for text in texts:
-            total = bias + sum(weights[f] for f in set().union(*filter(None, map(live, set(text.split())))))
+            said.append("" if text is None else r.text(text))
+            total = bias + sum(weights[f] for f in set().union(*filter(None, map(live, set(said[-1].split())))))
             out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))))
-        return pd.Series(out, dtype="float64")
+        return pd.DataFrame({"said": pd.Series(said, dtype=object), "score": pd.Series(out, dtype="float64")})
 
-    return run(F.col(said))
+    return run(F.col(text))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, features: int = FEATURES) -> DataFrame:
@@ -299,21 +324,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABE
     which features tell the classes apart, then logistic weights.  Null texts
     are empty; repeated labels of an id count as toxic if one is; rows without
     a label are scored like others; without labels every score is 0; a null id
-    is not held out and never learnt from.
+    is not held out and never learnt from; of rows that repeat an id the least
+    text is learnt from.  Columns named like the results are replaced.
     """
     small_batches(docs)
     held = F.coalesce(is_held_out(), F.lit(False))
-    model = language_model(trigram_counts(docs.where(~held)))
+    channel = Channel(language_model(trigram_counts(docs.where(~held))))
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = marked.where(~is_held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
     scratch = Scratch()
-    sample = scratch.keep(docs.join(F.broadcast(chosen), "doc_id").select(restored("text", model).alias("said"), "toxic"), "labelled")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    sample = scratch.keep(texts.select(restored("text", channel).alias("said"), "toxic"), "labelled")
     totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     toxic, clean = totals["t"], totals["n"] - totals["t"]
-    out = docs.withColumn("held_out", held).withColumn("said", restored("text", model))
     if not totals["n"]:
         scratch.clear()
-        return out.withColumn("score", F.lit(0.0)).withColumn("predicted", F.lit(0))
+        return docs.withColumns({"held_out": held, "said": restored("text", channel), "score": F.lit(0.0), "predicted": F.lit(0)})
     counted = scratch.keep(count_features(sample).where(F.col("clean") + F.col("toxic") >= 4), "features")
     p1, p0 = (F.col("toxic") + 0.5) / F.lit(toxic + 1.0), (F.col("clean") + 0.5) / F.lit(clean + 1.0)
     odds = F.log(p1 / p0)
@@ -329,8 +355,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABE
     scratch.clear()
     fitted = fit_logistic([np.asarray(r, dtype=np.int64) for r in rows["at"]], rows["toxic"].to_numpy(), len(place), 0.1 * top["odds"].to_numpy(dtype=float))
     weights = {f: float(fitted[i]) for f, i in place.items()}
-    out = out.withColumn("score", scored("said", weights, float(fitted[-1])))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    own = docs.drop("held_out", "said", "score", "predicted")
+    made = own.withColumns({"held_out": held, "made_": restored_and_scored("text", channel, weights, float(fitted[-1]))})
+    return made.select(*own.columns, "held_out", "made_.said", "made_.score", (F.col("made_.score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
