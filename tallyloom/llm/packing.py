@@ -14,13 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters, vocabulary_file
-from .common import documents, small_batches, worker_cache
+from .common import Stored, documents, small_batches, worker_cache
 
 #: Tokens of pieces that a task holds before it packs them and goes on, and words that a tokenizer remembers.
-HELD_TOKENS, KEPT_WORDS, KEPT_LENGTH = 12_000_000, 200_000, 48
+HELD_TOKENS, KEPT_WORDS, KEPT_LENGTH = 2_000_000, 100_000, 48
+#: Windows filled to less than this share are packed again, together with those of other partitions.
+FILLED = 0.99
+#: Sequences of the second pass count up from here, those of the first from their partition's number; both times 2**33.
+AGAIN = 1 << 29
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-ARROW = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in PIECES.split(", ")])
+FIRST = PIECES + ", again boolean"
+ARROW = pa.schema([(c.split()[0], {"binary": pa.binary(), "boolean": pa.bool_(), "long": pa.int64()}[c.split()[1]]) for c in FIRST.split(", ")])
 
 
 #: A word of lower-case Latin letters that no normalizer changes and no piece pattern cuts, and a mark after it.
@@ -39,6 +44,7 @@ class WordMerger:
     def __init__(self, spec: dict, suffix: str):
         import tiktoken
 
+        self.suffix = suffix
         letters = byte_letters()
         raw = lambda t: bytes(letters[c] for c in t.removesuffix(suffix)) + (b"\0" if t.endswith(suffix) else b"")
         special = {t["content"] for t in spec["added_tokens"]}
@@ -90,10 +96,20 @@ class WordTokenizer:
         self.old: dict[bytes, bytes] = {}
         self.marks = {m: self.ids_of([m.decode()])[0] if m else b"" for m in (b".", b",", b"")}
         self.merger = WordMerger.of(vocabulary_file(name)) if self.lower else None
+        if self.merger and not self.agrees():
+            self.merger = None
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
+    def agrees(self, most: int = 4096) -> bool:
+        """Whether the merger gives the library's ids for plain words of the vocabulary, whole and run together."""
+        whole = [w.removesuffix(s) for w in self.library.get_vocab() if (s := self.merger.suffix) and w.endswith(s)]
+        whole = sorted(w for w in whole if PLAIN.fullmatch(w.encode()))
+        words = whole[:: 1 + len(whole) // most]
+        words += [a + b for a, b in zip(words, reversed(words), strict=True)]
+        return self.merger.ids_of([w.encode() for w in words]) == self.ids_of(words)
+
     def learn(self, words: list[bytes]) -> None:
         """Ids of words not met before.
 
@@ -212,11 +228,24 @@ def tokenized(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -
             yield doc_id, (t.encode(text) if text else b"") + end
 
 
+def pieces_of(rows: Iterator[tuple], window: int) -> Iterator[tuple]:
+    """``(doc_id, start, ids, doc_tokens)``: documents cut into full windows and a rest."""
+    for doc_id, ids in rows:
+        for start in range(0, len(ids) // 4, window):
+            yield doc_id, start, ids[4 * start : 4 * (start + window)], len(ids) // 4
+
+
 def packed(rows: Iterator[tuple], window: int, task: int) -> Iterator[pa.RecordBatch]:
-    """Batches of ``PIECES`` for ``(doc_id, ids)`` rows.
+    """Batches of ``FIRST`` for ``(doc_id, ids)`` rows."""
+    return packed_pieces(pieces_of(rows, window), window, task)
+
 
-    Full windows of overlong documents go out at once; the rests wait until
-    ``HELD_TOKENS`` are there and are then packed.
+def packed_pieces(pieces: Iterator[tuple], window: int, task: int, filled: float = FILLED) -> Iterator[pa.RecordBatch]:
+    """Batches of ``FIRST`` for pieces as :func:`pieces_of` gives them.
+
+    Full windows go out at once; the others wait until ``HELD_TOKENS`` are
+    there and are then packed.  Pieces of windows that are filled to less than
+    ``filled`` are marked to be packed again.
     """
     sequence, held, tokens = task << 33, [], 0
     out: list[tuple] = []
@@ -228,23 +257,24 @@ def packed(rows: Iterator[tuple], window: int, task: int) -> Iterator[pa.RecordB
 
     def pack() -> None:
         nonlocal sequence, tokens
-        to, offset, count = best_fit_decreasing([len(p[2]) // 4 for p in held], window)
+        lengths = [len(p[2]) // 4 for p in held]
+        to, offset, count = best_fit_decreasing(lengths, window)
+        used = [0] * count
+        for k, n in zip(to, lengths, strict=True):
+            used[k] += n
         for (doc_id, start, ids, n), k, at in zip(held, to, offset, strict=True):
-            out.append((doc_id, start, len(ids) // 4, ids, n, sequence + k, at))
+            out.append((doc_id, start, len(ids) // 4, ids, n, sequence + k, at, used[k] < filled * window))
         sequence += count
         tokens = 0
         held.clear()
 
-    for doc_id, ids in rows:
-        n = len(ids) // 4
-        for start in range(0, n, window):
-            piece = ids[4 * start : 4 * (start + window)]
-            if len(piece) == 4 * window:
-                out.append((doc_id, start, window, piece, n, sequence, 0))
-                sequence += 1
-            else:
-                held.append((doc_id, start, piece, n))
-                tokens += len(piece) // 4
+    for doc_id, start, ids, n in pieces:
+        if len(ids) == 4 * window:
+            out.append((doc_id, start, window, ids, n, sequence, 0, False))
+            sequence += 1
+        else:
+            held.append((doc_id, start, ids, n))
+            tokens += len(ids) // 4
         if tokens > HELD_TOKENS:
             pack()
         if len(out) >= 1024:
@@ -256,18 +286,30 @@ def packed(rows: Iterator[tuple], window: int, task: int) -> Iterator[pa.RecordB
 def pack_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:
     """Pieces of ``docs(doc_id, text)`` in sequences of at most ``window`` tokens, with their ids.
 
-    Each input partition is packed by itself, so nothing is shuffled and a task
-    holds a bounded number of tokens; a partition leaves a part of one or a few
-    windows empty.  ``sequence_id`` counts up from the partition number, so a
-    task that runs again gives the same rows.  A null or empty text is its end
-    id alone; repeated rows and ids are packed each; other columns are ignored.
+    Each input partition is packed by itself, and stored; what it leaves in
+    windows that are not full is packed again, that of many partitions
+    together, so that padding does not depend on how the input is cut.  A task
+    holds ``HELD_TOKENS`` tokens at most.  ``sequence_id`` counts up from the
+    partition number, so a task that runs again gives the same rows.  A null or
+    empty text is its end id alone; repeated rows and ids are packed each;
+    other columns are ignored; an empty table gives no rows.
     """
+    names = [f.split()[0] for f in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return packed(tokenized(batches, vocabulary, end_id), window, TaskContext.get().partitionId())
 
+    def once_more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")), strict=True))
+        for batch in packed_pieces(rows, window, AGAIN + TaskContext.get().partitionId(), 0.0):
+            yield batch.select(names)
+
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    first = Stored(rows.mapInArrow(run, FIRST), "pieces").df
+    rest = first.where("again").select("doc_id", "start", "length", "ids", "doc_tokens")
+    tokens = rest.agg(F.sum("length")).first()[0] or 0
+    rest = rest.repartition(1 + tokens // HELD_TOKENS, "doc_id", "start", "ids").sortWithinPartitions(F.desc("length"), "doc_id", "start", "ids")
+    return first.where("not again").select(*names).unionByName(rest.mapInArrow(once_more, PIECES))
 
 
 def digest(pieces: DataFrame) -> DataFrame:
