@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Texts that go to Python at a time.  Spark's own 10,000 rows are made for numbers; of texts they take hundreds of MB.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 250, 2 << 20
 
 _caches: dict[str, dict] = {}
 
@@ -67,22 +68,37 @@ def worker_cache(owner: str) -> dict:
 class Stored:
     """A frame written as Parquet into the shared folder: it cuts lineage and outlives any executor."""
 
+    #: Those written and not discarded, in order: whoever stores what was made of them can let them go.
+    kept: list[Stored] = []
+
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
         self.schema = df.schema
+        Stored.kept.append(self)
 
     @property
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def discard(self) -> None:
+        if self in Stored.kept:
+            Stored.kept.remove(self)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def stored_alone(make: Callable[[], DataFrame], name: str) -> Stored:
+    """What ``make`` returns, stored; the tables that it was made of and that ``make`` itself wrote go."""
+    before = list(Stored.kept)
+    out = Stored(make(), name)
+    for t in [t for t in Stored.kept if t not in before and t is not out]:
+        t.discard()
+    return out
+
+
 class Scratch:
     """Stored frames that can go once what was made of them is stored itself."""
 

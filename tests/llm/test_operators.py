@@ -103,6 +103,40 @@ def test_restoring(docs):
     assert r.text("de la ç y a") == "de la ç y a"
 
 
+def readings(lattice):
+    """All paths of a lattice, with their channel cost."""
+    for path in itertools.product(*lattice):
+        yield "".join(letters for letters, _ in path), sum(cost for _, cost in path)
+
+
+def test_decoding_equals_all_paths(docs):
+    r = toxicity.Restorer(toxicity.language_model(toxicity.trigram_counts(docs)))
+    random.seed(14)
+    for _ in range(150):
+        token = "".join(random.choice("aeiost0134@$!|.-ll") for _ in range(random.randint(1, 8)))
+        best = max(r.score(said) + cost for said, cost in readings(r.lattice(token)))
+        got = r.decode(token)
+        assert max(r.score(said) + cost for said, cost in readings(r.lattice(token)) if said == got) == pytest.approx(best)
+
+
+def test_long_obfuscated_words(docs):
+    r = toxicity.Restorer(toxicity.language_model(toxicity.trigram_counts(docs)))
+    assert r.text("1d10t" + "t" * 60) == r.text("1d10ttt") and r.text("L0SER" + "!" * 70) == "loser"
+    assert r.text(".".join("idiotidiotidiotidiotidiotidiot")) == "idiot" * 6
+    for long in ("x" * 60_000, "a" + "." * 30_000 + "a", "a1" * 5_000, "!" * 40_000):
+        assert isinstance(r.text(long), str)
+
+
+def test_held_out_rows_beat_any_constant(spark):
+    """Of held-out rows the mean of the shares of toxic and of clean ones told right; a constant gets a half."""
+    docs, labels = (common.table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    marked = labels.select("doc_id", "toxic").where("toxic is not null")
+    held = docs.join(marked.select("doc_id"), "doc_id", "left_semi")
+    out = toxicity.score_toxicity(held.withColumn("toxic", F.lit(1)), marked).where("held_out").select("doc_id", "predicted").join(marked, "doc_id").toPandas()
+    told = (out["predicted"] == out["toxic"]).groupby(out["toxic"]).mean()
+    assert len(told) == 2 and told.mean() > 0.8
+
+
 def test_toxicity_rows(spark, awkward, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     out = toxicity.score_toxicity(awkward, none).collect()
@@ -357,6 +391,19 @@ def test_packing_rows(awkward, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_padding_does_not_depend_on_partitions(spark):
+    """Over 211 partitions windows are filled within a point of what one partition gives, and hold every token once."""
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    fill, tokens = {}, {}
+    for n in (1, 211):
+        rows = packing.digest(packing.pack_documents(docs.repartition(n))).toPandas()
+        whole = rows.sort_values("offset").groupby("sequence_id")
+        for _, part in whole:
+            assert part["offset"].tolist() == [0, *part["length"].cumsum().tolist()[:-1]] and part["length"].sum() <= 2048
+        fill[n], tokens[n] = rows["length"].sum() / (2048 * rows["sequence_id"].nunique()), rows["length"].sum()
+    assert tokens[1] == tokens[211] and fill[1] - fill[211] < 0.01
+
+
 # --- 8: language model -----------------------------------------------------------------------------------------------
 
 
