@@ -1,9 +1,11 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes ``(spark, docs, sf_dir)``, works on all rows it is given and
-returns a frame; all but the last return the columns of ``documents``.  Rows of
-one ``doc_id`` are one document; null ids pass the deduplicating stages as they
-are; null texts count as empty; an empty table passes as an empty table.
+returns a frame; all but the last return the columns of ``documents``.  Null
+texts count as empty; an empty table passes as an empty table; null ids pass
+the deduplicating stages as they are.  Of rows that share a ``doc_id`` the
+near-duplicate stage keeps one, that of the least text, so that later stages
+see each id once; the stage before it treats each row by itself.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Stored, table
+from tallyloom.llm.common import stored_alone, table
 from tallyloom.llm.near_simhash import simhash_groups
 from tallyloom.llm.packing import digest, pack_documents
 from tallyloom.llm.para_dedup import dedup_passages
@@ -29,11 +31,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id."""
+    """Of each near-duplicate group the document with the smallest id; of several rows of that id the one with the least text."""
     groups = simhash_groups(docs.select("doc_id", "text"))
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    row = F.struct("text", "lang", "source", "n_chars")
+    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*")
+    return kept.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = Stored(stage(spark, docs, sf_dir), name).df
+        made = stored_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        if held is not None:
+            held.discard()
+        docs, held = made.df, made
     return STAGES[-1][1](spark, docs, sf_dir)
