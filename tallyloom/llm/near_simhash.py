@@ -76,11 +76,11 @@ def postings(classes: DataFrame) -> DataFrame:
     short at any size.
     """
     pairs = [F.struct(F.lit(k).alias("combo"), F.col("fp").bitwiseAND(F.lit(_signed(a | b))).alias("bytes")) for k, (a, b) in enumerate(combinations(GROUPS, 2))]
-    return classes.select("fp", "rep", F.explode(F.array(*pairs)).alias("k")).select("k.combo", "k.bytes", "fp", "rep")
+    return classes.select("fp", F.explode(F.array(*pairs)).alias("k")).select("k.combo", "k.bytes", "fp")
 
 
-def links(classes: DataFrame, radius: int = 2, list_limit: int = 64, scratch: Scratch | None = None) -> DataFrame:
-    """Edges ``(a, b)`` of representatives that connect all fingerprints within ``radius`` (at most 2) bits.
+def links(fingerprints: DataFrame, radius: int = 2, list_limit: int = 64, scratch: Scratch | None = None) -> DataFrame:
+    """Edges ``(a, b)`` between distinct fingerprints ``fp`` that connect all within ``radius`` (at most 2) bits.
 
     Posting lists up to ``list_limit`` are joined with themselves: the shared
     positional bytes of each pair are tallied, pairs under the guaranteed
@@ -93,18 +93,18 @@ def links(classes: DataFrame, radius: int = 2, list_limit: int = 64, scratch: Sc
     scratch = scratch or Scratch()
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2")
-    listed = postings(classes)
-    sizes = listed.groupBy("combo", "bytes").agg(F.count("*").alias("n")).where("n > 1")
+    listed = postings(fingerprints)
+    # Stored, so that the join below is one of two exchanges and a hot list's rows can be split.
+    sizes = scratch.keep(listed.groupBy("combo", "bytes").agg(F.count("*").alias("n")).where("n > 1"), "lists")
     members = scratch.keep(listed.join(sizes, ["combo", "bytes"]), "postings")
-    short = members.where(F.col("n") <= list_limit)
-    other = short.select("combo", "bytes", F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
-    xor = F.col("fp").bitwiseXOR(F.col("fp2"))
+    short = members.where(F.col("n") <= list_limit).select("combo", "bytes", "fp")
+    xor = F.col("a").bitwiseXOR(F.col("b"))
     pairs = (
-        short.join(other, ["combo", "bytes"])
-        .where(F.col("rep") < F.col("rep2"))
+        short.withColumnRenamed("fp", "a").join(short.withColumnRenamed("fp", "b"), ["combo", "bytes"])
+        .where("a < b")
         .where(shared_bytes(xor) >= BYTES - radius)
         .where(F.bit_count(xor) <= radius)
-        .select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+        .select("a", "b")
     )
     if not members.where(F.col("n") > list_limit).limit(1).count():
         return pairs
@@ -113,37 +113,38 @@ def links(classes: DataFrame, radius: int = 2, list_limit: int = 64, scratch: Sc
         free = [i for i in range(64) if not ((a | b) >> i) & 1]
         flips.append(F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)).cast("long") for i in free)))
     masks = F.array(*flips)
-    spread = members.where(F.col("n") > list_limit).select(
-        "combo", "rep", F.col("fp"), F.explode(F.element_at(masks, F.col("combo") + 1)).alias("flip")
-    ).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("value"), "fp", "rep")
-    if radius < 2:
-        spread = spread.where(F.col("value") == F.col("fp")) if radius == 0 else spread
-    met = scratch.keep(spread.groupBy("value", "fp", "rep").agg(F.count("*").alias("c")).drop("c"), "values")
-    heads = met.groupBy("value").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.min_by("fp", "rep").alias("hfp")).where("a <> z")
-    star = met.join(heads, "value").where("rep <> a")
+    spread = members.where(F.col("n") > list_limit).select("fp", F.explode(F.element_at(masks, F.col("combo") + 1)).alias("flip"))
+    spread = spread.select(F.col("fp").bitwiseXOR(F.col("flip")).alias("value"), "fp")
+    if radius == 0:
+        spread = spread.where(F.col("value") == F.col("fp"))
+    met = scratch.keep(spread.distinct(), "values")
+    heads = met.groupBy("value").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z")
+    star = met.join(heads, "value").where("fp <> a")
     if radius == 1:
         # At radius 1 two values may meet two bits apart; only those one bit apart count, and each has its own value.
-        star = met.join(met.where("value = fp").select("value", F.col("rep").alias("a")), "value").where("rep <> a")
-    return pairs.union(star.select("a", F.col("rep").alias("b")))
+        star = met.join(met.where("value = fp").select("value", F.col("fp").alias("a")), "value").where("fp <> a")
+    return pairs.union(star.select("a", F.col("fp").alias("b")))
 
 
 def simhash_groups(docs: DataFrame, radius: int = 2, width: int = 3, list_limit: int = 64) -> DataFrame:
     """Near-duplicate groups of ``docs(doc_id, text)``: ``doc_id, fp, component_id``.
 
     One row per input row.  Null and word-less texts have fingerprint zero and
-    link like any other; equal rows share a class; a null ``doc_id`` belongs to
-    its class but never names it; an empty table gives no rows.  Other columns
-    are ignored.
+    link like any other.  What is linked are fingerprints, so rows without an
+    id, and several texts of one id, carry links too; ``component_id`` is the
+    smallest id of the group, null where none of its rows has one.  An empty
+    table gives no rows; other columns are ignored.
     """
     fps = Stored(small_batches(docs).select("doc_id", fingerprint_column("text", width).alias("fp")), "fps")
-    classes = Stored(fps.df.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = Stored(fps.df.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     scratch = Scratch()
     found = components(links(classes.df, radius, list_limit, scratch))
     scratch.clear()
-    final = Stored(
-        classes.df.join(found.df.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")),
-        "groups",
-    )
+    linked = classes.df.join(found.df.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    linked = scratch.keep(linked, "linked")
+    ids = scratch.keep(linked.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
+    final = Stored(linked.join(ids, "component").select("fp", "component_id"), "groups")
+    scratch.clear()
     for t in (classes, found):
         t.discard()
     return fps.df.join(final.df, "fp").select("doc_id", "fp", "component_id")

@@ -6,6 +6,7 @@ import json
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -193,6 +194,31 @@ def test_reliabilities_are_ordered():
     assert pii.span_classifier({})["email"][0] == 0.0
 
 
+def test_estimated_reliabilities_beat_the_majority():
+    r = random.Random(4)
+    told = []
+    for _ in range(4000):
+        truth = r.random() < 0.5
+        told.append((truth, tuple(((1 if (r.random() < right) == truth else -1) if r.random() < votes else 0) for right, votes in ((0.95, 0.9), (0.7, 0.6), (0.6, 0.5), (0.85, 1.0)))))
+    belief, _ = pii.reliabilities(sorted(Counter(v for _, v in told).items()))
+    share = lambda guess: sum(guess(v) == truth for truth, v in told) / len(told)
+    assert share(lambda v: belief[v] >= 0.5) > share(lambda v: sum(v) > 0) + 0.02
+
+
+def test_labelers_decide_what_is_added(spark, docs):
+    """Of made texts: keys after telling words and written-out forms are added; numbers that fail the check, overlong
+    address parts and plain hashes beside words against them are not."""
+    key = hashlib.sha1
+    rows = [(i, f"Call +1 (736) 555-{1000 + i}, card 4111 1111 1111 1111, a{i}@b.com, 10.1.2.{i}; token = \"{key(b'%d' % i).hexdigest()}\"") for i in range(40)]
+    rows += [(100 + i, f"order {4111111111111112 + 10 * i}, 300.1.2.{i}, commit {key(b'x%d' % i).hexdigest()}") for i in range(40)]
+    rows += [(200, "write joe (at) site (dot) org")]
+    out = {r["doc_id"]: {(s["kind"], s["base"]) for s in r["spans"]} for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=False).collect()}
+    assert all(out[i] == {("phone", True), ("card", True), ("email", True), ("ip", True), ("secret", False)} for i in range(40))
+    assert all(out[100 + i] <= {("card", True)} for i in range(40)) and sum(not out[100 + i] for i in range(40)) > 30 and out[200] == {("email", False)}
+    found = pii.find_pii(common.documents(spark, "/root/testdata/sf0.01")).select("text", F.explode("spans").alias("s")).where("not s.base").collect()
+    assert found and all(re.search("token", r["text"][max(0, r["s"]["start"] - 24) : r["s"]["start"]]) for r in found if r["s"]["kind"] == "secret")
+
+
 def test_personal_data_rows(awkward, empty):
     assert pii.find_pii(awkward).count() == len(AWKWARD)
     assert pii.find_pii(empty).count() == 0
@@ -226,9 +252,18 @@ def test_links_equal_all_pairs(spark, radius, list_limit):
     fps = sorted({b ^ sum(1 << k for k in random.sample(range(64), random.randint(0, 3))) for b in base for _ in range(25)})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     want = plain_components(len(fps), [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= radius])
-    classes = spark.createDataFrame(list(zip(signed, range(len(fps)), strict=True)), "fp long, rep long")
-    found = {r["node"]: r["component"] for r in common.components(near_simhash.links(classes, radius, list_limit)).df.collect()}
-    assert [found.get(i, i) for i in range(len(fps))] == want
+    found = {r["node"]: r["component"] for r in common.components(near_simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), radius, list_limit)).df.collect()}
+    labels = [found.get(f, f) for f in signed]
+    assert [labels.index(x) for x in labels] == want
+
+
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    """Fingerprints two bits apart from each other only through a row that has no id, and through one text of a repeated id."""
+    prints = {"a": 0, "b": 0b11, "c": 0b1111, "d": 1 << 40, "e": 0b111111}
+    monkeypatch.setattr(near_simhash, "fingerprint_column", lambda text, width: F.coalesce(*(F.when(F.col(text) == k, v) for k, v in prints.items())).cast("long"))
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c"), (4, "d"), (4, "e"), (9, "e")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["fp"], r["component_id"]) for r in near_simhash.simhash_groups(df).collect())
+    assert got == [(0, 3, 1), (1, 0, 1), (3, 15, 1), (4, 63, 1), (4, 1 << 40, 4), (9, 63, 1)]
 
 
 def test_fingerprint_is_the_majority():
