@@ -259,11 +259,11 @@ def test_links_equal_all_pairs(spark, radius, list_limit):
 
 def test_rows_without_an_id_link_others(spark, monkeypatch):
     """Fingerprints two bits apart from each other only through a row that has no id, and through one text of a repeated id."""
-    prints = {"a": 0, "b": 0b11, "c": 0b1111, "d": 1 << 40, "e": 0b111111}
+    prints = {"a": 0, "b": 0b11, "c": 0b1111, "d": 0xFFFF << 40, "e": 0b111111}
     monkeypatch.setattr(near_simhash, "fingerprint_column", lambda text, width: F.coalesce(*(F.when(F.col(text) == k, v) for k, v in prints.items())).cast("long"))
     df = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c"), (4, "d"), (4, "e"), (9, "e")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["fp"], r["component_id"]) for r in near_simhash.simhash_groups(df).collect())
-    assert got == [(0, 3, 1), (1, 0, 1), (3, 15, 1), (4, 63, 1), (4, 1 << 40, 4), (9, 63, 1)]
+    assert got == [(0, 3, 1), (1, 0, 1), (3, 15, 1), (4, 63, 1), (4, 0xFFFF << 40, 4), (9, 63, 1)]
 
 
 def test_fingerprint_is_the_majority():
