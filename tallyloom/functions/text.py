@@ -23,19 +23,13 @@ ENGLISH = (
     "upon us very via was we well were what whatever when whence whenever where whereas whether which while who whoever whole whom whose why will with "
     "within without would yet you your yours yourself yourselves"
 )
-MONTHS = "january february march april may june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec"
-DIGIT_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
-TENS_WORDS = "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion"
-HTML = "html http https href www com org net div span nbsp amp quot img src class style"
-SOCIAL = "rt via retweet twitter facebook instagram tweet http https www com"
-
-STOPWORD_SETS = {
-    "english": ENGLISH.split(),
-    "months": MONTHS.split(),
-    "numbers": [*DIGIT_WORDS.split(), *TENS_WORDS.split(), *(str(i) for i in range(10, 100))],
-    "html": HTML.split(),
-    "social_media": SOCIAL.split(),
-}
+# The sets that results must equal.
+MONTHS = "january jan february feb march mar april apr may june jun july jul august aug september sept sep october oct november nov december dec"
+NUMBERS = "first second third fourth fifth sixth seventh eighth ninth tenth"
+HTML = "aspx gdata http html bit goo gov www youtu org https pdf php amp rsquo ldquo rdquo"
+SOCIAL_MEDIA = "twitter facebook instagram profile page tweet post like share comment retweet fbid photo album event group live video youtube insta tiktok"
+
+STOPWORD_SETS = {"english": ENGLISH.split(), "months": MONTHS.split(), "numbers": NUMBERS.split(), "html": HTML.split(), "social_media": SOCIAL_MEDIA.split()}
 #: Sets whose short words stay.
 KEEP_SHORT = ("english", "months", "misc_boilerplate")
 
@@ -220,7 +214,8 @@ def column_suffix(name: Column) -> Column:
 
 
 def anchor_pattern(terms: Sequence[str]) -> str:
-    return "|".join(rf"\b{re.escape(t)}\b" for t in terms)
+    """Any of the terms as whole words; letters of all scripts belong to words, whatever the Java version takes for a boundary."""
+    return "(?U)" + "|".join(rf"\b{re.escape(t)}\b" for t in terms)
 
 
 def title(text: Column) -> Column:
@@ -232,6 +227,24 @@ def content_hash(text: Column) -> Column:
     return F.sha2(F.lower(squeezed(F.coalesce(text, F.lit("")))).cast("binary"), 256)
 
 
+def fuzzy_hash(text: Column, parts: int = 4, width: int = 3) -> Column:
+    """A hash that similar texts share in part: for each of ``parts`` seeds the least md5 of the text's runs of ``width``
+    lower-case words, eight digits each.  Of two texts with a share J of runs in common each part is equal with
+    probability J.  Texts of fewer words are one run; null counts as empty."""
+
+    def parts_of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(width)), " "))
+        least = [F.substring(F.array_min(F.transform(runs, lambda r: F.md5(F.concat(F.lit(f"{k}_"), r).cast("binary")))), 1, 8) for k in range(parts)]  # noqa: B023
+        return F.concat_ws(":", *least)
+
+    return _bound(words_of(F.lower(text)), parts_of)
+
+
+def decoded(raw: Column) -> Column:
+    """Bytes as UTF-8 text; texts are that already.  What is no UTF-8 becomes the replacement sign."""
+    return F.decode(raw.cast("binary"), "UTF-8")
+
+
 #: Function words by which a language is told.
 PROFILES = {
     "en": "the of and to in is that was for with",

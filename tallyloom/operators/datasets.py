@@ -67,8 +67,10 @@ def discrete_label(labels: Sequence[str], base: str | None = None, threshold: fl
 
 def standardize(by_coder: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Labels as z-scores within each coder, by the sample deviation; null where that is zero or unknown."""
-    w = Window.partitionBy("coder_id")
-    return by_coder.withColumns({c: (F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_samp(c).over(w), F.lit(0.0)) for c in labels})
+    moments = [f(c).alias(f"{name}_{c}") for c in labels for name, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    by = by_coder.groupBy(F.col("coder_id").alias("coder_")).agg(*moments)
+    scores = {c: (F.col(c) - F.col(f"mean_{c}")) / F.nullif(F.col(f"std_{c}"), F.lit(0.0)) for c in labels}
+    return by_coder.join(by, F.col("coder_id").eqNullSafe(F.col("coder_"))).withColumns(scores).select(*by_coder.columns)
 
 
 def with_documents(df: DataFrame, document: DataFrame, columns: Sequence[str] = ("text", "date", "document_type")) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -28,6 +28,10 @@ def tokens(text: Column, ngram_range: tuple[int, int] = (1, 1)) -> Column:
     return T._bound(words, grams)
 
 
+#: Partitions over which the rows of one term are dealt when terms are joined.
+SPREAD = 16
+
+
 def tfidf(
     docs: DataFrame, text: str = "text", ngram_range: tuple[int, int] = (1, 1), min_df: int = 1, max_df: float = 1.0,
     max_features: int | None = None, use_idf: bool = True, sublinear_tf: bool = False, binary: bool = False, norm: bool = True,
@@ -44,7 +48,10 @@ def tfidf(
         terms = terms.orderBy(F.desc("total"), "term").limit(max_features)
     tf = F.lit(1.0) if binary else (1 + F.log("tf") if sublinear_tf else F.col("tf"))
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1 if use_idf else F.lit(1.0)
-    weighted = counts.join(terms, "term").select("document_id", "term", (tf * idf).alias("weight"))
+    # The commonest terms are in almost every document, so their rows are dealt over several partitions.
+    salt = F.pmod(F.xxhash64("document_id"), F.lit(SPREAD))
+    spread = terms.withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    weighted = counts.withColumn("salt_", salt).join(spread, ["term", "salt_"]).select("document_id", "term", (tf * idf).alias("weight"))
     if not norm:
         return weighted
     length = weighted.groupBy("document_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("length"))
@@ -81,7 +88,29 @@ def word_categories(lexicon: DataFrame) -> DataFrame:
 
 
 def vector_stats(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """mean, max, min, sample deviation and median of each dimension by key, in long form."""
+    """mean, max, min, sample deviation and median of each dimension by key, in long form.
+
+    Groups may be of any size: a sketch tells between which values the median
+    lies, and only the rows in between, a fiftieth of a group, are ranked.  The
+    median is exact.  NaN counts as the largest value; nulls take no part.
+    """
+    x = vectors.select(F.col(key).alias("key_"), F.posexplode(vector).alias("dim", "x")).select("key_", "dim", F.col("x").cast("double").alias("x")).where("x is not null")
+    near = F.percentile_approx("x", [0.49, 0.51], 2000)
+    moments = x.groupBy("key_", "dim").agg(F.avg("x").alias("mean"), F.max("x").alias("max"), F.min("x").alias("min"), F.stddev_samp("x").alias("std"), F.count("x").alias("n"), near.alias("near"))
+    same = F.col("key_").eqNullSafe(F.col("k2")) & (F.col("dim") == F.col("d2"))
+    band = x.join(moments.select(F.col("key_").alias("k2"), F.col("dim").alias("d2"), "n", F.col("near")[0].alias("low"), F.col("near")[1].alias("high")), same)
+    below = band.groupBy("key_", "dim").agg(F.count_if(F.col("x") < F.col("low")).alias("below"), F.first("n").alias("n"))
+    inside = band.where("x >= low and x <= high").select("key_", "dim", "x")
+    place = F.row_number().over(Window.partitionBy("key_", "dim").orderBy("x"))
+    k2, d2 = F.col("key_").alias("k2"), F.col("dim").alias("d2")
+    placed = inside.withColumn("place", place).join(below.select(k2, d2, "below", "n"), same).withColumn("place", F.col("place") + F.col("below"))
+    middle = placed.where("place in (floor((n + 1) / 2), floor((n + 2) / 2))").groupBy("key_", "dim").agg(F.avg("x").alias("median"))
+    out = moments.drop("n", "near").join(middle.select(k2, d2, "median"), same)
+    return out.select(F.col("key_").alias(key), "dim", "mean", "max", "min", "std", "median")
+
+
+def small_vector_stats(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """:func:`vector_stats` of groups that fit a task, in one step."""
     x = vectors.select(key, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
     return x.groupBy(key, "dim").agg(F.avg("x").alias("mean"), F.max("x").alias("max"), F.min("x").alias("min"), F.stddev_samp("x").alias("std"), F.median("x").alias("median"))
 
@@ -89,7 +118,7 @@ def vector_stats(vectors: DataFrame, key: str, vector: str = "embedding") -> Dat
 def word_vector_features(docs: DataFrame, vectors: DataFrame, text: str = "text") -> DataFrame:
     """Statistics of the vectors of a document's words and bigrams that ``vectors(word, embedding)`` has."""
     words = docs.select("document_id", F.explode(T.words_and_bigrams(F.col(text))).alias("word"))
-    return vector_stats(words.join(vectors, "word"), "document_id")
+    return small_vector_stats(words.join(vectors, "word"), "document_id")
 
 
 def topic_features(docs: DataFrame, document_topic: DataFrame, names: dict[int, str]) -> DataFrame:

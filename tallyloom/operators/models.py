@@ -188,11 +188,11 @@ def grid_search(df: DataFrame, make: Callable[..., Estimator], grid: dict[str, S
     return max(tried, key=lambda t: t[1])[0], tried
 
 
-def binary_report(rows: DataFrame, by: Sequence[str] = (), positive: float = 1.0) -> DataFrame:
-    """Metrics of predictions against ``label``, one row, or one for each value of ``by``."""
+def binary_report(rows: DataFrame, by: Sequence[str] = (), positive: float = 1.0, weight: str | None = None) -> DataFrame:
+    """Metrics of predictions against ``label``, one row, or one for each value of ``by``; rows count by ``weight``, alike without one."""
     keys = tuple(by) or ("one",)
     pairs = rows.withColumn("one", F.lit(1)) if not by else rows
-    return agreement.binary_metrics(agreement.binary_sums(pairs.select(*keys, F.col("label").alias("y1"), F.col("prediction").alias("y2"), F.lit(1.0).alias("w")), keys, positive))
+    return agreement.binary_metrics(agreement.binary_sums(pairs.select(*keys, F.col("label").alias("y1"), F.col("prediction").alias("y2"), (F.col(weight) if weight else F.lit(1.0)).alias("w")), keys, positive))
 
 
 def apply_to_frame(model: Transformer, frame: DataFrame, classified: DataFrame | None = None, refresh: bool = False) -> DataFrame:

@@ -78,11 +78,27 @@ def quotas(df: DataFrame, by: Sequence[str], size: int, strategy: str = "stratif
     return counts.select(*by, "available", F.least(quota, "available").cast("long").alias("quota"))
 
 
+def ranked(df: DataFrame, by: Sequence[str], seed: int) -> DataFrame:
+    """``document_id, stratum_, rank_``: each row's place in its stratum by draw key, from 1; strata are structs of ``by``, null one of them.
+
+    Ids alone are ranked.  Keys are cut into bins by their first hexadecimal
+    digits, which are as even as md5 is: rows are ranked within bins, and the
+    counts of the bins before are added.  So a stratum of any size is many tasks.
+    """
+    key = draw_key(seed)
+    ids = df.select("document_id", F.struct(*by).alias("stratum_"), key.alias("key_"), F.substring(key, 1, 3).alias("bin_"))
+    counts = ids.groupBy("stratum_", "bin_").agg(F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy("stratum_").orderBy("bin_")) - F.col("n_")
+    counts = counts.select("stratum_", "bin_", before.alias("before_"))
+    place = F.row_number().over(Window.partitionBy("stratum_", "bin_").orderBy("key_", "document_id"))
+    return ids.withColumn("place_", place).join(counts, ["stratum_", "bin_"]).select("document_id", "stratum_", (F.col("before_") + F.col("place_")).alias("rank_"))
+
+
 def stratified(df: DataFrame, by: Sequence[str], size: int, seed: int, strategy: str = "stratify") -> DataFrame:
-    """A ranked draw within each stratum, cut at its quota."""
-    wanted = quotas(df, by, size, strategy).drop("available")
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(draw_key(seed), "document_id"))
-    return df.withColumn("_rank", rank).join(F.broadcast(wanted), list(by)).where("_rank <= quota").drop("_rank", "quota")
+    """A ranked draw within each stratum, cut at its quota.  A document is one row of ``df``."""
+    wanted = quotas(df, by, size, strategy).select(F.struct(*by).alias("stratum_"), "quota")
+    chosen = ranked(df, by, seed).join(wanted, "stratum_").where("rank_ <= quota").select("document_id")
+    return df.join(chosen, "document_id", "left_semi")
 
 
 def keyword_oversample(flagged: DataFrame, proportions: dict[str, float], size: int, seed: int) -> DataFrame:
@@ -121,9 +137,8 @@ def expansion_size(old_frame: int, new_frame: int, sample: int) -> int:
 
 def expand(frame: DataFrame, sample: DataFrame, by: Sequence[str], fraction: float, seed: int) -> DataFrame:
     """``sample`` and, from each stratum, round(fraction * what it already gave) documents not yet in it."""
-    have = sample.select("document_id").join(frame, "document_id").groupBy(*by).agg(F.bround(F.count("*") * fraction).cast("long").alias("more"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(draw_key(seed), "document_id"))
-    extra = unsampled(frame, sample).withColumn("_rank", rank).join(F.broadcast(have), list(by)).where("_rank <= more")
+    have = sample.select("document_id").join(frame, "document_id").groupBy(F.struct(*by).alias("stratum_")).agg(F.bround(F.count("*") * fraction).cast("long").alias("more"))
+    extra = ranked(unsampled(frame, sample), by, seed).join(have, "stratum_").where("rank_ <= more")
     return sample.select("document_id").union(extra.select("document_id"))
 
 
@@ -133,9 +148,27 @@ def in_frame(sample: DataFrame, frame: DataFrame) -> DataFrame:
 
 
 def folds(df: DataFrame, label: str, k: int, seed: int, name: str = "fold") -> DataFrame:
-    """Stratified folds 0 to k-1, shuffled by the draw key."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(draw_key(seed), "document_id"))
-    return df.withColumn(name, ((rank - 1) % k).cast("int"))
+    """Stratified folds 0 to k-1, shuffled by the draw key.  A document is one row of ``df``."""
+    place = ranked(df, [label], seed).select("document_id", ((F.col("rank_") - 1) % k).cast("int").alias(name))
+    return df.join(place, "document_id")
+
+
+def fractional(size: float, n: int) -> int:
+    """A sample's size: a share of the n documents if it is under one, else itself."""
+    return int(n * size) if size < 1 else int(size)
+
+
+def draw(frame: DataFrame, size: float | None, seed: int, strategy: str = "random", by: Sequence[str] = (), others: Sequence[DataFrame] = (), fill: bool = True) -> DataFrame:
+    """Document ids of one draw: ``size`` documents, or a share of the frame's, by the strategy ``all``, ``random`` or one of
+    :func:`quotas`; not those that ``others`` (samples of the project) have; with ``fill`` the rest fills up to the size."""
+    left = unsampled(frame, *others)
+    if strategy == "all" or size is None:
+        return left.select("document_id")
+    n = fractional(size, frame.count())
+    if strategy == "random":
+        return simple(left.select("document_id"), n, seed)
+    drawn = stratified(left.select("document_id", *by), by, n, seed, strategy).select("document_id")
+    return fill_up(left.select("document_id"), drawn, n, seed) if fill else drawn
 
 
 def train_test(df: DataFrame, test_percent: float, seed: int) -> DataFrame:

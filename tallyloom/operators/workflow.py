@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import writers
 from .lookups import holds
 from .sampling import draw_key
 
@@ -151,3 +155,31 @@ def parse_answers(xml: Column) -> Column:
     blocks = F.regexp_extract_all(xml, F.lit(r"(?s)<Answer>(.*?)</Answer>"), F.lit(1))
     pick = lambda b, tag: F.nullif(F.regexp_extract(b, rf"(?s)<{tag}>(.*?)</{tag}>", 1), F.lit(""))
     return F.transform(blocks, lambda b: F.struct(pick(b, "QuestionIdentifier").alias("question"), F.coalesce(pick(b, "FreeText"), pick(b, "SelectionIdentifier")).alias("answer")))
+
+
+def ordering(keys: Sequence[str]) -> list[Column]:
+    """Sort keys by name, ``-`` before a name for descending order; nulls come last either way, as undated work does."""
+    return [F.col(k[1:]).desc_nulls_last() if k.startswith("-") else F.col(k).asc_nulls_last() for k in keys]
+
+
+def placed(df: DataFrame, keys: Sequence[str] = ("time_finished",)) -> DataFrame:
+    """``df`` in the order of the keys, with ``place`` from 1; the order should be total.
+
+    Sorting deals rows by ranges and is written once; a row's place is its
+    number in its range and the counts of the ranges before, so no task sees
+    all rows.
+    """
+    spark = df.sparkSession
+    path = f"{writers.shared_dir(spark)}/placed-{uuid.uuid4().hex}"
+    numbered = df.sort(*ordering(keys)).withColumn("at_", F.monotonically_increasing_id())
+    numbered.write.parquet(path)
+    rows = spark.read.schema(numbered.schema).parquet(path)
+    rows = rows.withColumn("range_", F.shiftright("at_", 33)).withColumn("in_", F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = rows.groupBy("range_").agg(F.count("*").alias("n_"))
+    before = counts.select("range_", (F.sum("n_").over(Window.orderBy("range_")) - F.col("n_")).alias("before_"))
+    return rows.join(before, "range_").withColumn("place", F.col("before_") + F.col("in_") + 1).drop("at_", "range_", "in_", "before_")
+
+
+def any_match(df: DataFrame, keys: Sequence[str], found: Column, name: str) -> DataFrame:
+    """Whether any row of each key matches; rows that are neither right nor wrong do not."""
+    return df.groupBy(*keys).agg(F.coalesce(F.bool_or(found), F.lit(False)).alias(name))

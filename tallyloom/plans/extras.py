@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import agreement, features, filters, sampling, workflow
 from ..sources import readers, writers
 from . import fixtures as X
-from .coding import SWEEP, THRESHOLDS, query
+from .coding import THRESHOLDS, _draw, query
 
 
 @query("create_hits", "SELECT document_id, 1 AS sample_id, 2 AS num_coders FROM sample_unit WHERE document_id % 3 <> 0")
@@ -85,11 +85,23 @@ def parse_answers(spark, d):
     return rows.select("event_id", "a.question", "a.answer")
 
 
-@query("best_cv_threshold", SWEEP + ", m AS (SELECT threshold, least(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END) AS s FROM b) SELECT threshold FROM m ORDER BY round(s, 9) DESC, threshold LIMIT 1")
+HALVES = """, u AS (SELECT x::DOUBLE / 20 AS threshold FROM range(20) AS r(x)),
+    v AS (SELECT threshold, document_id % 2 AS half, t.label_id = 10 AS t, (CASE WHEN p.label_id = 11 THEN 1 - probability ELSE probability END) >= threshold AS g FROM truth t JOIN prediction p USING (document_id), u),
+    b AS (SELECT threshold, half, sum((t AND g)::INT) AS tp, sum((NOT t AND g)::INT) AS fp, sum((t AND NOT g)::INT) AS fn FROM v GROUP BY 1, 2),
+    m AS (SELECT threshold, half, round(least(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END), 9) AS s FROM b)
+    SELECT threshold FROM m GROUP BY 1 ORDER BY min(s) DESC, threshold LIMIT 1"""
+
+
+@query("best_cv_threshold", HALVES)
 def best_cv_threshold(spark, d):
-    scores = agreement.threshold_scores(X.prediction(spark, d), X.truth(spark, d), 11, 10, THRESHOLDS).withColumn("outcome_column", F.lit("label_id__10"))
-    scores = scores.withColumn("precision_recall_min", F.round("precision_recall_min", 9))
-    return agreement.best_cv_threshold(scores, scores)
+    """The threshold that does best on the worse of two disjoint sets of documents, one as test, one as fold."""
+
+    def scores(half: int):
+        truth = X.truth(spark, d).where(F.col("document_id") % 2 == half)
+        out = agreement.threshold_scores(X.prediction(spark, d), truth, 11, 10, THRESHOLDS).withColumn("outcome_column", F.lit("label_id__10"))
+        return out.withColumn("precision_recall_min", F.round("precision_recall_min", 9))
+
+    return agreement.best_cv_threshold(scores(0), scores(1))
 
 
 @query("fold_average", ", s AS (SELECT document_id % 3 AS fold, label_id, avg(probability) AS p FROM prediction GROUP BY 1, 2) SELECT label_id::VARCHAR AS outcome_column, round(avg(p), 6) AS probability FROM s GROUP BY 1")
@@ -169,9 +181,33 @@ def cached_dataset(spark, d):
 
 @query(
     "topic_anchor_codes",
-    r"""SELECT document_id, topic, (regexp_matches(lower(text), p))::INT AS label_id FROM document, (VALUES (0, '(^|[^a-zA-Z0-9_])(the|and)($|[^a-zA-Z0-9_])'), (1, '(^|[^a-zA-Z0-9_])(der|und)($|[^a-zA-Z0-9_])')) AS v(topic, p)""",
+    r"""SELECT document_id, topic, (regexp_matches(lower(text), p))::INT AS label_id FROM document, (VALUES (0, '(^|[^\p{L}\p{N}\p{M}_])(the|and)($|[^\p{L}\p{N}\p{M}_])'), (1, '(^|[^\p{L}\p{N}\p{M}_])(der|und)($|[^\p{L}\p{N}\p{M}_])')) AS v(topic, p)""",
 )
 def topic_anchor_codes(spark, d):
     from ..operators import topics
 
     return topics.anchor_codes(X.document(spark, d), {0: ["the", "and"], 1: ["der", "und"]})
+
+
+@query("sample_share", f", k AS (SELECT document_id, row_number() OVER (ORDER BY {_draw(8)}, document_id) AS r, count(*) OVER () AS n FROM document WHERE document_id % 3 <> 0) SELECT document_id FROM k WHERE r <= floor(0.05 * (SELECT count(*) FROM document))")
+def sample_share(spark, d):
+    """A twentieth of the frame at random, of documents that the project's other sample does not have."""
+    frame = X.document(spark, d).select("document_id")
+    return sampling.draw(frame, 0.05, 8, others=[frame.where("document_id % 3 = 0")])
+
+
+@query("sample_everything", "SELECT document_id FROM document WHERE document_id % 4 <> 0")
+def sample_everything(spark, d):
+    frame = X.document(spark, d).select("document_id")
+    return sampling.draw(frame, None, 0, "all", others=[frame.where("document_id % 4 = 0")])
+
+
+@query("ordered_assignments", "SELECT assignment_id, row_number() OVER (ORDER BY coder_id DESC, time_finished DESC NULLS LAST, assignment_id) AS place FROM assignment")
+def ordered_assignments(spark, d):
+    """Assignments in an order that the caller names, key by key."""
+    return workflow.placed(X.assignment(spark, d), ["-coder_id", "-time_finished", "assignment_id"]).select("assignment_id", "place")
+
+
+@query("questions_with_codes", "SELECT question_id, max((label_id = 11)::INT) = 1 AS has FROM code GROUP BY 1")
+def questions_with_codes(spark, d):
+    return workflow.any_match(X.codes(spark, d, None), ["question_id"], F.col("label_id") == 11, "has")

@@ -105,7 +105,7 @@ def clean_text(spark, d):
     r"SELECT document_id, md5(regexp_replace(regexp_replace(text, '[0-9]+', '#', 'g'), '(?i)\bthe\b', 'THE', 'g')) AS digest FROM document",
 )
 def regex_replace(spark, d):
-    text = T.replaced(F.col("text"), [("[0-9]+", "#"), (r"(?i)\bthe\b", "THE")])
+    text = T.replaced(F.col("text"), [("[0-9]+", "#"), (r"(?i)(?<![A-Za-z0-9_])the(?![A-Za-z0-9_])", "THE")])
     return _docs(spark, d).select("document_id", F.md5(text.cast("binary")).alias("digest"))
 
 
@@ -191,3 +191,41 @@ def language_detection(spark, d):
 @query("content_hash", r"SELECT document_id, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '))) AS digest FROM document")
 def content_hash(spark, d):
     return _docs(spark, d).select("document_id", T.content_hash(F.col("text")).alias("digest"))
+
+
+STOPWORDS = {"html": T.HTML, "months": T.MONTHS, "numbers": T.NUMBERS, "social_media": T.SOCIAL_MEDIA}
+
+
+@query("stopword_sets", " UNION ALL ".join(f"SELECT '{name}' AS stopword_set, unnest(string_split('{words}', ' ')) AS word" for name, words in STOPWORDS.items()), prelude=False)
+def stopword_sets(spark, d):
+    """The words of the sets of fixed values, as ``stopwords`` gives them with short words kept."""
+    rows = [F.struct(F.lit(name).alias("stopword_set"), F.lit(w).alias("word")) for name in STOPWORDS for w in T.STOPWORD_SETS[name]]
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+
+
+@query(
+    "clean_text_stopwords",
+    rf""", s AS (SELECT unnest(string_split('{" ".join(STOPWORDS.values())}', ' ')) AS word), l AS (SELECT list(word) AS words FROM s),
+    t AS (SELECT document_id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(text), '(^|[^\p{{L}}\p{{N}}\p{{M}}_])[\p{{L}}\p{{N}}\p{{M}}_]+[''’][\p{{L}}\p{{N}}\p{{M}}_]+', '\1 ', 'g'), '[^\p{{L}}\p{{N}}\p{{M}}_]+', ' ', 'g'), ' '), lambda w: len(w) >= 3 AND NOT list_contains(words, w)) AS w FROM document, l)
+    SELECT document_id, len(w) AS n_words, md5(array_to_string(w, ' ')) AS digest FROM t""",
+)
+def clean_text_stopwords(spark, d):
+    """Texts without the words of all sets of fixed values."""
+    out = _docs(spark, d).select("document_id", T.clean_text(F.col("text"), list(STOPWORDS)).alias("text"))
+    return out.select("document_id", F.size(T.words_of(F.col("text"))).cast("long").alias("n_words"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(
+    "fuzzy_hash",
+    r""", w AS (SELECT document_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM document),
+    g AS (SELECT document_id, list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' ')) AS g FROM w)
+    SELECT document_id, left(list_min(list_transform(g, lambda x: md5('0_' || x))), 8) || ':' || left(list_min(list_transform(g, lambda x: md5('1_' || x))), 8)
+      || ':' || left(list_min(list_transform(g, lambda x: md5('2_' || x))), 8) || ':' || left(list_min(list_transform(g, lambda x: md5('3_' || x))), 8) AS digest FROM g""".replace("\\\\", "\\"),
+)
+def fuzzy_hash(spark, d):
+    return _docs(spark, d).select("document_id", T.fuzzy_hash(F.col("text")).alias("digest"))
+
+
+@query("decoded_text", "SELECT document_id, md5(text) AS digest FROM document")
+def decoded_text(spark, d):
+    return _docs(spark, d).select("document_id", F.md5(T.decoded(F.encode("text", "UTF-8")).cast("binary")).alias("digest"))

@@ -78,7 +78,8 @@ def load_folder(kind: str, package: str, attribute: str) -> list[str]:
 
 def _builtins() -> None:
     from .functions import text as T
-    from .operators import agreement, datasets, features, filters, models
+    from .operators import administration, agreement, datasets, features, filters, models
+    from .sources import readers
 
     for f in (filters.excluding_coders, filters.only_coders, filters.excluding_experts, filters.excluding_crowd, filters.coders_with_documents):
         register("dataset_coder_filters")(f)
@@ -99,6 +100,14 @@ def _builtins() -> None:
         register("stopword_sets", name)(lambda _name=name: list(T.STOPWORD_SETS[_name]))
     register("balancing_variables")(T.year_month)
     register("sampling_frames", "all_documents")(dict)
+    register("sampling_methods", "all_documents")(lambda: {"sampling_strategy": "all"})
+    commands = {
+        "coding_create_coder": administration.create_coder, "coding_extract_sampling_frame": administration.extract_frame, "coding_extract_sample": administration.extract_sample,
+        "coding_create_sample_hits": administration.create_sample_hits, "models_train_document_classifier": administration.train_classifier,
+        "models_apply_document_classifier": administration.apply_classifier, "nlp_reload_liwc": readers.lexicon_dic, "topics_train_model": administration.train_topics,
+    }
+    for name, command in commands.items():
+        register("commands", name)(command)
 
 
 _builtins()

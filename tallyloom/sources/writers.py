@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         known = sc._jsc.sc().getCheckpointDir()
         folder = known.get() if known.isDefined() else None
+    if not folder and not sc.master.startswith(("local[", "local ")) and sc.master != "local":
+        raise RuntimeError("executors share no folder with this driver: set spark.checkpoint.dir")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         sc.setCheckpointDir(folder)

@@ -1,16 +1,22 @@
 """Known results of operators on small inputs."""
 
+import hashlib
 import math
+import random
+import statistics
 
+import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tallyloom import registry
 from tallyloom.functions import text as T
-from tallyloom.operators import agreement, datasets, features, filters, lookups, models, sampling, topics, weights, workflow
+from tallyloom.operators import administration, agreement, datasets, features, filters, lookups, models, sampling, topics, weights, workflow
 from tallyloom.sources import readers, writers
 from tallyloom.streaming import incremental
 
+# A sentence, its cleaned forms and scores that results must equal.
 SAID = "Testing one two three and four but not five. This is an action movie and it's exciting."
 
 
@@ -238,3 +244,69 @@ def test_empty_tables(spark):
     assert agreement.overall(empty).first()["alpha"] is None
     assert features.tfidf(empty).count() == 0
     assert sampling.simple(empty, 5, 1).count() == 0
+
+
+def test_placed_and_ranked_over_many_partitions(spark):
+    """Places by ranges and ranks by bins equal one sort, nulls in keys and strata included."""
+    rows = [(i, None if i % 7 == 0 else (i * 37) % 11, None if i % 5 == 0 else f"s{i % 3}") for i in range(400)]
+    df = spark.createDataFrame(rows, "document_id long, k long, s string").repartition(7)
+    got = {r["document_id"]: r["place"] for r in workflow.placed(df, ["-k", "document_id"]).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [got[r[0]] for r in order] == list(range(1, 401))
+    key = lambda i: (hashlib.md5(f"3_{i}".encode()).hexdigest(), i)
+    ranks = {r["document_id"]: r["rank_"] for r in sampling.ranked(df, ["s"], 3).collect()}
+    for s in ("s0", "s1", "s2", None):
+        assert [ranks[i] for i in sorted((r[0] for r in rows if r[2] == s), key=key)] == list(range(1, 1 + sum(r[2] == s for r in rows)))
+
+
+def test_exact_median_of_large_groups(spark):
+    r = random.Random(2)
+    rows = [(k, [r.choice([r.random(), 0.5]), float(r.randint(0, 3))]) for k in ("a", "b", None) for _ in range(r.choice([1, 2, 501, 640]))]
+    got = {(s["g"], s["dim"]): s["median"] for s in features.vector_stats(spark.createDataFrame(rows, "g string, embedding array<double>"), "g").collect()}
+    for (g, dim), median in got.items():
+        assert median == pytest.approx(statistics.median(v[dim] for k, v in rows if k == g))
+    assert len(got) == 2 * len({k for k, _ in rows})
+
+
+def test_commands_and_guards(spark):
+    assert len(registry.names("commands")) == 8
+    coders = spark.createDataFrame([], "coder_id int, coder_name string, coder_is_mturk boolean")
+    assert [tuple(r) for r in registry.get("commands", "coding_create_coder")(coders, "new").collect()] == [(1, "new", False)]
+    known = spark.createDataFrame([("html",), ("months",)], "name string")
+    assert administration.guarded("stopword_sets", known, "name").count() == 2
+    with pytest.raises(KeyError, match="nothing"):
+        administration.guarded("stopword_sets", spark.createDataFrame([("nothing",), (None,)], "name string"), "name")
+
+
+def test_fuzzy_hashes_share_parts(spark):
+    words = [f"w{k}" for k in range(200)]
+    near = [*words[:100], "x", *words[101:]]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words))), (4, None), (5, " \n"), (6, "One two"), (7, "one  TWO")]
+    got = {r["i"]: r["h"].split(":") for r in spark.createDataFrame(rows, "i int, t string").select("i", T.fuzzy_hash(F.col("t")).alias("h")).collect()}
+    assert sum(a == b for a, b in zip(got[1], got[2], strict=True)) >= 2 and not set(got[1]) & set(got[3])
+    assert got[4] == got[5] and got[6] == got[7] and all(len(h) == 4 for h in got.values())
+
+
+def plain_naive_bayes(x, y, z):
+    """Multinomial with add-one smoothing."""
+    prior = np.log([(y == c).mean() for c in (0, 1)])
+    theta = np.log([(x[y == c].sum(axis=0) + 1) / (x[y == c].sum() + x.shape[1]) for c in (0, 1)])
+    return (z @ theta.T + prior).argmax(axis=1)
+
+
+def test_classifiers_equal_plain_fits(spark):
+    """Naive Bayes as numpy fits it; the others tell a planted rule that no constant does; weights of rows count like repeats."""
+    rng = np.random.default_rng(5)
+    x = rng.poisson(2, size=(300, 6)).astype(float)
+    y = (x[:, 0] + x[:, 1] > x[:, 2] + x[:, 3]).astype(int)
+    frame = lambda x, y, w: spark.createDataFrame([(Vectors.dense(a), float(b), float(c)) for a, b, c in zip(x.tolist(), y.tolist(), w.tolist(), strict=True)], ["features", "label", "w"])
+    ones, w = np.ones(300), rng.integers(1, 4, 300)
+    told = lambda model, df: np.array([r["prediction"] for r in model.transform(df).collect()])
+    df = frame(x, y, ones)
+    assert (told(models.classifier("multinomial_nb").fit(df), df) == plain_naive_bayes(x, y, x)).all()
+    for name in ("decision_tree", "random_forest", "gradient_boosting", "linear_svc", "sgd", "logistic_regression"):
+        assert (told(models.classifier(name, **({"maxIter": 10} if name in ("linear_svc", "gradient_boosting") else {})).fit(df), df) == y).mean() > 0.85, name
+    repeated = np.repeat(np.arange(300), w)
+    weighted = models.classifier("multinomial_nb", weight="w").fit(frame(x, y, w))
+    theta = np.log([(x[repeated][y[repeated] == c].sum(axis=0) + 1) / (x[repeated][y[repeated] == c].sum() + 6) for c in (0, 1)])
+    assert np.allclose(weighted.theta.toArray(), theta)
