@@ -255,7 +255,7 @@ def links(met: DataFrame, sets: DataFrame, threshold: float, paired: int, scratc
     large = met.where(F.col("size") > paired)
     if not large.limit(1).count():
         return edges
-    heads = large.where("n = most").groupBy("band", "key").agg(F.min("id").alias("head"))
+    heads = scratch.keep(large.where("n = most").groupBy("band", "key").agg(F.min("id").alias("head")), "heads")
     rays = large.join(heads, ["band", "key"]).where("id <> head").select("band", "key", F.col("id").alias("b"), F.col("head").alias("a"))
     known = scratch.keep(similar(rays.select("a", "b").distinct(), sets), "rays")
     edges = edges.union(known.where(F.col("j") >= threshold).select("a", "b"))
