@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches, worker_cache
+from .common import SHARED_BYTES, SHARED_ROWS, documents, small_batches, worker_cache
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts whose characters are all below U+0100: letters, numbers and white space there.
@@ -284,7 +284,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> Da
     repeated, an empty table stays empty, other columns are ignored and a text
     of any length is one row's work in a worker.
     """
-    return small_batches(docs).select("doc_id", encoded("text", vocabulary).alias("ids")).withColumn("decoded", decoded("ids", vocabulary))
+    return small_batches(docs, SHARED_ROWS, SHARED_BYTES).select("doc_id", encoded("text", vocabulary).alias("ids")).withColumn("decoded", decoded("ids", vocabulary))
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         known = sc._jsc.sc().getCheckpointDir()
         folder = known.get() if known.isDefined() else None
+    if not folder and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("executors share no folder with this driver: set spark.checkpoint.dir")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         sc.setCheckpointDir(folder)
@@ -36,15 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Texts that go to Python at a time.  Spark's own 10,000 rows are made for numbers; of texts they take hundreds of MB.
+#: Operators that share work between the texts of a batch ask for larger ones.
 BATCH_ROWS, BATCH_BYTES = 250, 2 << 20
+SHARED_ROWS, SHARED_BYTES = 1000, 8 << 20
 
 _caches: dict[str, dict] = {}
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df`` itself; its session now sends texts to Python in batches of bounded size, unless they were smaller already."""
+def small_batches(df: DataFrame, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
+    """``df`` itself; its session now sends texts to Python in batches of bounded size, unless they were smaller already.
+
+    Spark reads these settings when a query runs, which for a lazy result is
+    after the operator has returned, so they stay set.
+    """
     conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = conf.get(key) or ""
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(key, str(most))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, documents, small_batches, worker_cache
+from .common import SHARED_BYTES, SHARED_ROWS, Stored, documents, small_batches, worker_cache
 
 #: Classes: the commonest words have one each, other words share the rest by their ending.
 CLASSES, OWN = 32, 12
@@ -256,7 +256,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, head_limit: int
     one class with one unseen word; an empty table gives no rows.
     """
     held = is_held_out() if held_out is None else held_out
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs, SHARED_ROWS, SHARED_BYTES).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = docs.where(~held)
     counts = Stored(count_words(texts), "words").df
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()

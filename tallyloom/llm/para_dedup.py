@@ -344,7 +344,7 @@ def _shared(found: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFram
     classes = classes.where("component is not null or n > 1").select("x", "y", F.coalesce("component", "id").alias("component"))
     shared = Stored(found.select("doc_id", "tk", "start", "end", "x", "y").join(classes, ["x", "y"]).drop("x", "y"), "shared").df
     joined.discard()
-    firsts = shared.groupBy("component").agg(F.min(F.struct("doc_id", "tk", "start")).alias("first"))
+    firsts = Stored(shared.groupBy("component").agg(F.min(F.struct("doc_id", "tk", "start")).alias("first")), "firsts").df
     here = F.struct("doc_id", "tk", "start") == F.col("first")
     return shared.join(firsts, "component").select("doc_id", "tk", "start", "end", "component", F.col("first.doc_id").alias("kept_in"), here.alias("keep"))
 
