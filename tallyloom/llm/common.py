@@ -79,10 +79,10 @@ class Stored:
     #: Those written and not discarded, in order: whoever stores what was made of them can let them go.
     kept: list[Stored] = []
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, codec: str = "snappy"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        df.write.option("compression", codec).parquet(self.path)
         self.schema = df.schema
         Stored.kept.append(self)
 
@@ -113,8 +113,8 @@ class Scratch:
     def __init__(self):
         self.held: list[Stored] = []
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        self.held.append(Stored(df, name))
+    def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+        self.held.append(Stored(df, name, codec))
         return self.held[-1].df
 
     def clear(self) -> None:

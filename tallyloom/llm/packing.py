@@ -305,7 +305,7 @@ def pack_documents(docs: DataFrame, window: int = 2048, vocabulary: str = "word_
             yield batch.select(names)
 
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    first = Stored(rows.mapInArrow(run, FIRST), "pieces").df
+    first = Stored(rows.mapInArrow(run, FIRST), "pieces", "zstd").df
     rest = first.where("again").select("doc_id", "start", "length", "ids", "doc_tokens")
     tokens = rest.agg(F.sum("length")).first()[0] or 0
     rest = rest.repartition(1 + tokens // HELD_TOKENS, "doc_id", "start", "ids").sortWithinPartitions(F.desc("length"), "doc_id", "start", "ids")

@@ -360,9 +360,9 @@ def shared_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: in
     that the place is in.  Null and short texts have no paragraphs.
     """
     scratch = Scratch()
-    found = scratch.keep(read_texts(docs, min_words, None), "read")
+    found = scratch.keep(read_texts(docs, min_words, None), "read", "zstd")
     distinct, met, places = buckets(found, scratch)
-    fetched = scratch.keep(fetch(docs, _asks(places, None), RUN_WORDS), "fetched")
+    fetched = scratch.keep(fetch(docs, _asks(places, None), RUN_WORDS), "fetched", "zstd")
     out = _shared(found, distinct, links(met, fetched.select("id", "set"), threshold, paired, scratch))
     scratch.clear()
     return out
@@ -380,7 +380,7 @@ def _asks(places: DataFrame | None, windows: DataFrame | None) -> DataFrame:
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """Runs of ``run_words`` words or more that two or more documents have, see :func:`repeats.runs_of`."""
     scratch = Scratch()
-    found = scratch.keep(read_texts(docs, None, run_words), "read")
+    found = scratch.keep(read_texts(docs, None, run_words), "read", "zstd")
     placed, classes, several, windows = stretches(found, scratch)
     fetched = scratch.keep(fetch(docs, _asks(None, windows), run_words), "fetched")
     out = Stored(runs_of(placed, classes, several, fetched, scratch), "runs").df
@@ -412,13 +412,13 @@ def dedup_passages(docs: DataFrame, threshold: float = THRESHOLD, min_words: int
     """
     docs = docs.drop("cuts", "n_shared", "class_id")
     scratch = Scratch()
-    found = scratch.keep(read_texts(docs, min_words, run_words), "read")
+    found = scratch.keep(read_texts(docs, min_words, run_words), "read", "zstd")
     lines = found.where(F.col("kind") == PARAGRAPHS)
     distinct, met, places = buckets(lines, scratch)
     windows = None
     if run_words:
         placed, classes, several, windows = stretches(found.where(F.col("kind") == RUNS), scratch)
-    fetched = scratch.keep(fetch(docs, _asks(places, windows), run_words or RUN_WORDS), "fetched")
+    fetched = scratch.keep(fetch(docs, _asks(places, windows), run_words or RUN_WORDS), "fetched", "zstd")
     sets = fetched.where(F.col("kind") == PARAGRAPHS).select("id", "set")
     every = by_document(_shared(lines, distinct, links(met, sets, threshold, paired, scratch)))
     if run_words:
