@@ -226,13 +226,13 @@ def rethreshold(classified: DataFrame, threshold: float, base, positive, outcome
     )
 
 
-def threshold_scores(predicted: DataFrame, truth: DataFrame, base, positive, thresholds: list[float], outcome: str = "label_id") -> DataFrame:
-    """Metrics of the positive class at each threshold, in one pass: every row meets the literal list of thresholds."""
+def threshold_scores(predicted: DataFrame, truth: DataFrame, base, positive, thresholds: list[float], outcome: str = "label_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """Metrics of the positive class at each threshold, and for each value of ``by``, in one pass: every row meets the literal list of thresholds."""
     both = predicted.join(truth.select("document_id", F.col(outcome).alias("truth")), "document_id")
     spread = both.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     decided = apply_threshold(spread, F.col("threshold"), base, positive, outcome)
-    pairs = decided.select("threshold", F.col("truth").alias("y1"), F.col(outcome).alias("y2"), F.lit(1.0).alias("w"))
-    return binary_metrics(binary_sums(pairs, ("threshold",), positive))
+    pairs = decided.select("threshold", *by, F.col("truth").alias("y1"), F.col(outcome).alias("y2"), F.lit(1.0).alias("w"))
+    return binary_metrics(binary_sums(pairs, ("threshold", *by), positive))
 
 
 def best_threshold(scores: DataFrame, metric: str = "precision_recall_min") -> DataFrame:

@@ -41,6 +41,30 @@ def all_of(lookups: dict) -> Column:
     return reduce(Column.__and__, (lookup(k, v) for k, v in lookups.items()), F.lit(True))
 
 
+def follow(df: DataFrame, paths: Iterable[str], relations: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """``df`` with a column for each path, such as ``label__question__name``, which lookups then take as a field.
+
+    ``relations`` gives each step its table and key, a column of the table and
+    of whatever leads to it.  A table is joined once for each way that leads to
+    it, with only the columns asked for; rows that lead nowhere keep nulls.
+    """
+    steps: dict[str, list[str]] = {}
+    for path in paths:
+        step, _, rest = path.partition("__")
+        if not rest:
+            if step not in df.columns:
+                raise KeyError(f"no field named {step!r}; there are {sorted(df.columns)}")
+        elif step not in relations:
+            raise KeyError(f"no relation named {step!r}; there are {sorted(relations)}")
+        elif rest not in steps.setdefault(step, []):
+            steps[step].append(rest)
+    for step, rests in steps.items():
+        table, key = relations[step]
+        far = follow(table, rests, relations).select(F.col(key).alias("__key"), *(F.col(r).alias(f"{step}__{r}") for r in rests))
+        df = df.join(far, F.col(key) == F.col("__key"), "left").drop("__key")
+    return df
+
+
 def holds(predicate: Column) -> Column:
     """A predicate with unknown taken as false, so that its negation keeps nulls."""
     return F.coalesce(predicate, F.lit(False))

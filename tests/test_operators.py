@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import registry
 from tallyloom.functions import text as T
-from tallyloom.operators import administration, agreement, datasets, features, filters, lookups, models, sampling, topics, weights, workflow
+from tallyloom.operators import administration, agreement, datasets, features, filters, lookups, models, sampling, selection, topics, weights, workflow
 from tallyloom.sources import readers, writers
 from tallyloom.streaming import incremental
 
@@ -310,3 +310,30 @@ def test_classifiers_equal_plain_fits(spark):
     weighted = models.classifier("multinomial_nb", weight="w").fit(frame(x, y, w))
     theta = np.log([(x[repeated][y[repeated] == c].sum(axis=0) + 1) / (x[repeated][y[repeated] == c].sum() + 6) for c in (0, 1)])
     assert np.allclose(weighted.theta.toArray(), theta)
+
+
+def test_nested_parameters_names_and_preprocessors(spark):
+    steps = [("features", [("tfidf", None), ("counts", None)]), ("model", None)]
+    assert selection.collapsed_params(steps, {"tfidf": {"min_df": [1, 5], "none": []}, "model": {"depth": [3]}}) == {"features__tfidf__min_df": [1, 5], "model__depth": [3]}
+    rows = [(i, "good day sun" if i % 2 else "bad rain night", float(i), float(i % 2)) for i in range(20)]
+    df = spark.createDataFrame(rows, "document_id long, text string, n double, label double")
+    model = models.pipeline("logistic_regression", numeric=["n"]).fit(df)
+    assert sorted(selection.feature_names(model, "x_")) == sorted(["x_n_filled", *(f"x_{w}" for w in ("good", "day", "sun", "bad", "rain", "night"))])
+    out = selection.preprocessed(df, [("replaced", {"replacers": [("sun", "moon")]}), ("clean_text", {})])
+    assert out.columns == df.columns and out.where("document_id = 1").first()["text"] == "good day moon"
+
+
+def test_scorers_refuse_unknown_names_and_search_needs_two_classes(spark):
+    with pytest.raises(ValueError, match="brier_loss"):
+        selection.scorer("brier_loss")
+    df = spark.createDataFrame([(1, 1), (0, 1)], "label int, prediction int")
+    assert selection.scorer("precision", 1)(df).first()["score"] == 0.5 and selection.scorer("f1", 7)(df).first()["score"] == 0.0
+    assert selection.threshold_search(df, df, df, None, 1) is None
+
+
+def test_paths_keep_rows_that_lead_nowhere(spark):
+    rows, far = spark.createDataFrame([(1, 5), (2, None), (3, 9)], "i int, k int"), spark.createDataFrame([(5, "a")], "k int, name string")
+    got = lookups.follow(rows, ["far__name", "i"], {"far": (far, "k")})
+    assert sorted((r["i"], r["far__name"]) for r in got.collect()) == [(1, "a"), (2, None), (3, None)]
+    with pytest.raises(KeyError, match="nowhere"):
+        lookups.follow(rows, ["nowhere__name"], {})
