@@ -112,26 +112,26 @@ def fold_average(spark, d):
 
 @query(
     "tfidf_bigrams",
-    r""", w AS (SELECT document_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]{2,}') AS w FROM sample_unit), z AS (SELECT document_id, unnest(list_zip(w[:-2], w[2:])) AS p FROM w WHERE len(w) > 1),
-    c AS (SELECT document_id, p[1] || ' ' || p[2] AS term, count(*)::DOUBLE AS tf FROM z GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1 HAVING count(*) BETWEEN 3 AND 0.5 * (SELECT count(*) FROM sample_unit))
-    SELECT document_id, term, round((1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM sample_unit)) / (1 + df)) + 1), 6) AS weight FROM c JOIN f USING (term)""",
+    r""", w AS (SELECT document_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]{2,}') AS w FROM document), z AS (SELECT document_id, unnest(list_zip(w[:-2], w[2:])) AS p FROM w WHERE len(w) > 1),
+    c AS (SELECT document_id, p[1] || ' ' || p[2] AS term, count(*)::DOUBLE AS tf FROM z GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1 HAVING count(*) BETWEEN 3 AND 0.5 * (SELECT count(*) FROM document))
+    SELECT document_id, term, round((1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM document)) / (1 + df)) + 1), 6) AS weight FROM c JOIN f USING (term)""",
 )
 def tfidf_bigrams(spark, d):
-    docs = X.sample_unit(spark, d).select("document_id", "text")
+    docs = X.document(spark, d).select("document_id", "text")
     return X.rounded(features.tfidf(docs, ngram_range=(2, 2), min_df=3, max_df=0.5, sublinear_tf=True, norm=False))
 
 
 @query(
     "word_vector_features",
     """, v AS (SELECT i, 'the and of to in a is with for on'.split(' ')[i + 1] AS word, embedding FROM (SELECT vec_id AS i, embedding FROM embeddings WHERE vec_id < 10)),
-    t AS (SELECT document_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS word FROM sample_unit),
+    t AS (SELECT document_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS word FROM document),
     x AS (SELECT document_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM t JOIN v USING (word))
     SELECT document_id, CAST(dim AS INTEGER) AS dim, round(avg(x), 5) AS mean, round(max(x), 5) AS max, round(min(x), 5) AS min, round(stddev_samp(x), 5) AS std, round(median(x), 5) AS median FROM x GROUP BY 1, 2""".replace("\\\\", "\\"),
 )
 def word_vector_features(spark, d):
     names = X.lit_array("the and of to in a is with for on".split(" "))
     vectors = X.table(spark, d, "embeddings").where("vec_id < 10").select(F.element_at(names, F.col("vec_id").cast("int") + 1).alias("word"), "embedding")
-    return X.rounded(features.word_vector_features(X.sample_unit(spark, d).select("document_id", "text"), vectors), digits=5)
+    return X.rounded(features.word_vector_features(X.document(spark, d).select("document_id", "text"), vectors), digits=5)
 
 
 @query("topic_features", ", s AS (SELECT document_id, 1.0 - (document_id % 4) / 4.0 AS v FROM document WHERE document_id % 2 = 0) SELECT document_id, coalesce(v, 0.0) AS topic_even FROM document LEFT JOIN s USING (document_id)")
