@@ -124,13 +124,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int
     ``query_id, rank, vec_id, score``.
     """
     spark = vectors.sparkSession
-    sized = Stored(vectors.withColumn("len", F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c)), "vectors")
+    # Each file goes by descending length, once for all blocks; the bounds hold in any order, so split or joined files do no harm.
+    sized = Stored(vectors.withColumn("len", F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c)).sortWithinPartitions(F.desc("len")), "vectors")
     width = max(1, sized.df.agg(F.max(F.size("v")).alias("w")).first()["w"] or 1)
     seeds = sized.df.orderBy(F.desc("len"), "vec_id").limit(SEED_ROWS).toPandas()
     fit = sized.df.orderBy(F.xxhash64("vec_id")).limit(FIT_ROWS).toPandas()
     rotation = fit_rotation(_matrix(fit["v"], width))
     asked = Stored(queries.select("vec_id", "v"), "queries")
     blocks = -(-asked.df.count() // query_block)
+    window = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = lambda rows: rows.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
     numbered = asked.df.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))))
     found = None
     for block in range(blocks):
@@ -151,14 +154,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int
             i, j = np.nonzero(state.best.vec != np.iinfo(np.int64).max)
             yield pd.DataFrame({"query_id": state.best.ids[i], "vec_id": state.best.vec[i, j], "score": state.best.score[i, j]})
 
-        part = sized.df.sortWithinPartitions(F.desc("len")).select("vec_id", "v").mapInPandas(run, FOUND)
+        # Stored, best k of all tasks, before the next block is collected: one block at a time is held.
+        part = Stored(best(sized.df.select("vec_id", "v").mapInPandas(run, FOUND)), "found").df
+        sent.destroy()
         found = part if found is None else found.union(part)
+    asked.discard()
+    sized.discard()
     if found is None:
-        found = spark.createDataFrame([], FOUND)
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    )
+        found = best(spark.createDataFrame([], FOUND))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
