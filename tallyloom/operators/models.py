@@ -9,6 +9,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier,
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import writers
-from . import agreement
+from . import agreement, nearest
 
 
 def term_stages(text: str = "text", ngrams: int = 1, min_df: float = 1.0, max_features: int = 1 << 14, out: str = "features") -> list:
@@ -108,54 +109,93 @@ def pipeline(model: str = "logistic_regression", text: str = "text", rbf: bool =
     return Pipeline(stages=[*stages, classifier(model, features="rbf" if rbf else "features", **params)])
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
+    """The frame, read from a table in the shared folder, and that table's path."""
     path = f"{writers.shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def neighbours(train: DataFrame, test: DataFrame, k: int = 5, block: int = 64, train_limit: int = 20_000) -> DataFrame:
+def discarded(spark: SparkSession, path: str) -> None:
+    """Deletes a table of :func:`stored`."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: How Parquet holds a vector: reading it so takes no conversion, and zeros stay out.
+_VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+
+_FOUND = "document_id long, index array<int>, value array<double>, score array<double>, near array<long>, label array<double>"
+
+#: Entries of the training rows of one block, 12 bytes each.
+BLOCK_ENTRIES = 1 << 22
+
+
+def _sparse(df: DataFrame, *columns: str) -> tuple[DataFrame, str]:
+    """``columns, size, index, value`` of ``features``, dense ones too, and the table that holds them."""
+    kept, path = stored(df.select(F.col("document_id").cast("long").alias("document_id"), *columns, "features"), "vectors")
+    schema = ", ".join(f"{c} {t}" for c, t in kept.dtypes[:-1])
+    rows = df.sparkSession.read.schema(f"{schema}, features {_VECTOR}").parquet(path)
+    value = F.coalesce("features.values", F.array().cast("array<double>"))
+    every = F.when(F.size(value) > 0, F.sequence(F.lit(0), F.size(value) - 1)).otherwise(F.array().cast("array<int>"))
+    width = F.coalesce(F.col("features.size"), F.size(value))
+    return rows.select("document_id", *columns, width.alias("size"), F.coalesce("features.indices", every).alias("index"), value.alias("value")), path
+
+
+def neighbours(train: DataFrame, test: DataFrame, k: int = 5, block: int = 512, train_limit: int = 20_000) -> DataFrame:
     """``document_id, prediction, probability`` by the k nearest of the training rows (cosine of unit vectors).
 
-    Training rows meet all test rows in blocks of at most about ``train_limit``;
-    each block gives its k best for each test row, and the k best of those
-    vote.  Ties go to the smaller document id.
+    Training rows meet all test rows in blocks of about ``train_limit`` rows
+    and ``BLOCK_ENTRIES`` entries; the driver holds one block, sparse.  Each
+    round keeps the k best so far of each test row, and those of the last
+    vote.  ``block`` test rows are looked at together.  Ties go to the smaller
+    document id, so of equal training rows the first k are all that can count.
     """
     spark = train.sparkSession
-    rows = _stored(train.select("document_id", "label", vector_to_array("features").alias("v")), "neighbours")
-    asked = _stored(test.select("document_id", F.monotonically_increasing_id().alias("row"), vector_to_array("features").alias("v")), "neighbours")
-    blocks = -(-rows.count() // train_limit)
-    parts = rows.withColumn("block", F.pmod(F.xxhash64("document_id"), F.lit(max(1, blocks))))
-    found = None
+    rows, raw = _sparse(train.withColumn("label", F.col("label").cast("double")), "label")
+    first = Window.partitionBy("index", "value").orderBy("document_id", "label")
+    rows, rows_path = stored(rows.withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k).drop("copy"), "vectors")
+    discarded(spark, raw)
+    n, entries, width = rows.agg(F.count("*"), F.sum(F.size("index")), F.max("size")).first()
+    if not n:
+        raise ValueError("no training rows")
+    blocks = max(-(-n // train_limit), -(-entries // BLOCK_ENTRIES))
+    parts = rows.withColumn("block", F.pmod(F.xxhash64("document_id"), F.lit(blocks)))
+    if blocks > 1:
+        # In order of blocks, so that reading one passes over the others.
+        parts, by_block = stored(parts.repartition("block").sortWithinPartitions("block"), "vectors")
+        discarded(spark, rows_path)
+        rows_path = by_block
+    asked, path = _sparse(test)
+    count, widest = asked.agg(F.count("*"), F.max("size")).first()
+    width = max(width, widest or 0)
+    none = (F.array().cast(t).alias(c) for c, t in (("score", "array<double>"), ("near", "array<long>"), ("label", "array<double>")))
+    asked = asked.select("document_id", "index", "value", *none).repartition(-(-count // 2048) or 1)
     for number in range(blocks):
-        mine = parts.where(F.col("block") == number).toPandas().sort_values("document_id")
+        mine = parts.where(F.col("block") == number).select("document_id", "label", "index", "value").toArrow()
         if not len(mine):
             continue
-        sent = spark.sparkContext.broadcast((np.stack(mine["v"].to_numpy()).astype(np.float32), mine["label"].to_numpy(dtype=np.float64), mine["document_id"].to_numpy()))
+        made = nearest.block_of(nearest.sparse(mine["index"], mine["value"]), mine["document_id"].to_numpy(), mine["label"].to_numpy(), width)
+        del mine
+        sent = spark.sparkContext.broadcast(made)
+        del made
 
         def run(batches, sent=sent):
-            bx, by, ids = sent.value
             for b in batches:
-                out = []
-                for at in range(0, len(b), block):
-                    part = b.iloc[at : at + block]
-                    s = np.stack(part["v"].to_numpy()).astype(np.float32) @ bx.T
-                    near = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    for i, (doc, row) in enumerate(zip(part["document_id"], part["row"], strict=True)):
-                        out += [(doc, row, float(s[i, n]), int(ids[n]), float(by[n])) for n in near[i]]
-                yield pd.DataFrame(out, columns=["document_id", "row", "score", "near", "label"])
+                document, index, value, *found = b.columns
+                best = nearest.Best.read(*found, k)
+                nearest.look(nearest.sparse(index, value), best, sent.value, block)
+                yield pa.RecordBatch.from_arrays([document, index, value, *best.lists()], names=b.schema.names)
 
         # Stored before the next block is collected, so that one block at a time is held.
-        best = _stored(asked.mapInPandas(run, "document_id long, row long, score float, near long, label double"), "neighbours")
-        sent.unpersist()
-        found = best if found is None else found.unionByName(best)
-    if found is None:
-        raise ValueError("no training rows")
-    order = Window.partitionBy("row").orderBy(F.desc("score"), "near")
-    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    votes = top.groupBy("document_id", "row", "label").agg(F.count("*").alias("n"))
-    first = F.max_by("label", F.struct("n", -F.col("label"))).alias("prediction")
-    return votes.groupBy("document_id", "row").agg(first, (F.max("n") / F.sum("n")).alias("probability")).drop("row")
+        asked, into = stored(asked.mapInArrow(run, _FOUND), "neighbours")
+        sent.destroy()
+        discarded(spark, path)
+        path = into
+    discarded(spark, rows_path)
+    votes = F.transform(F.array_distinct("label"), lambda x: F.struct(F.size(F.filter("label", lambda y: y == x)).alias("n"), (-x).alias("less")))
+    top = asked.select("document_id", F.size("label").alias("n"), F.array_max(votes).alias("top"))
+    return top.select("document_id", (-F.col("top.less")).alias("prediction"), (F.col("top.n") / F.col("n")).alias("probability"))
 
 
 def predicted(model: Transformer, df: DataFrame, keep: Sequence[str] = ("document_id",)) -> DataFrame:

@@ -35,11 +35,16 @@ for _name, _params in (
 
 @query("classifier_k_neighbors")
 def k_neighbors(spark, d):
-    rows = _training(spark, d)
     from pyspark.ml import Pipeline
 
+    # The rows of _training: folds are dealt to ids, and texts meet them once, in the same way at any size.
+    docs = X.document(spark, d).select("document_id", "text")
+    coded = X.truth(spark, d).join(docs.select("document_id"), "document_id").withColumn("label", (F.col("label_id") == 10).cast("double"))
+    rows, path = models.stored(docs.hint("merge").join(sampling.folds(coded, "label", 3, 5), "document_id"), "training", "zstd")
     features = Pipeline(stages=models.term_stages(min_df=5.0, max_features=2000)).fit(rows.where("fold <> 0"))
-    return X.rounded(models.neighbours(features.transform(rows.where("fold <> 0")), features.transform(rows.where("fold = 0"))))
+    out = models.neighbours(features.transform(rows.where("fold <> 0")), features.transform(rows.where("fold = 0")))
+    models.discarded(spark, path)
+    return X.rounded(out)
 
 
 @query("cv_scores")
